@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.llm import mixing, quality, urls
+from touchline.llm import decontaminate, mixing, quality, tokens, urls
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op5_decontamination": decontaminate.query,
     "op7_url_filters": urls.query,
     "op8_quality_rules": quality.query,
+    "op10_token_files": tokens.query,
 }
 
 ORACLES = {
