@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, mixing, quality, tokens, urls
+from touchline.llm import decontaminate, mixing, quality, simhash, tokens, urls
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op3_simhash": simhash.query,
     "op5_decontamination": decontaminate.query,
     "op7_url_filters": urls.query,
     "op8_quality_rules": quality.query,
