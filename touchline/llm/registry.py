@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, mixing, quality, simhash, tokens, urls
+from touchline.llm import decontaminate, lm, mixing, quality, simhash, tokens, urls
 
 QUERIES = {
+    "op1_lm_scoring": lm.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
     "op5_decontamination": decontaminate.query,
