@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, lm, mixing, quality, simhash, tokens, urls
+from touchline.llm import decontaminate, langid, lm, mixing, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
     "op5_decontamination": decontaminate.query,
+    "op6_language_id": langid.query,
     "op7_url_filters": urls.query,
     "op8_quality_rules": quality.query,
     "op10_token_files": tokens.query,
