@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, langid, lm, mixing, quality, simhash, tokens, urls
+from touchline.llm import decontaminate, langid, lm, mixing, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_url_filters": urls.query,
     "op8_quality_rules": quality.query,
+    "op9_pii": pii.query,
     "op10_token_files": tokens.query,
 }
 
