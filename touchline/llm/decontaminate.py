@@ -266,6 +266,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return _scan(rows, PhraseSet(block), last=True)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that share no window with the benchmark."""
+    key = F.xxhash64("doc_id", text)
+    found = find_contamination(docs.select(key.alias("doc_id"), F.col(text).alias("text")), benchmark)
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, key == F.col("_hit"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what every document shares with the benchmark."""
     found = find_contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

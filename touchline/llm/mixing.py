@@ -151,7 +151,8 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     once = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["_id", "_hash", "_src", "start", "pass"]))
     cut = F.array_join(F.slice(words_of(F.col(text)), F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")), " ")
     whole = (F.col("_from") == 0) & (F.col("_to") == F.col("size"))
-    return once.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*columns)
+    length = {"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast("long"))} if "n_chars" in columns else {}
+    return once.withColumns({**length, text: F.when(whole, F.col(text)).otherwise(cut)}).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

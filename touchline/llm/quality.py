@@ -101,7 +101,7 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, pri
     Class-conditional chances let a rule be rarely heard on bad documents and yet be trusted when
     it is. START and NOISE fix which latent class is the bad one.
     """
-    n = len(patterns[0][0]) if patterns else 0
+    n = len(patterns[0][0]) if patterns else len(RULES)
     pull = PULL * sum(count for _, count in patterns) + 1
     table = [dict(START) for _ in range(n)]
     for _ in range(rounds):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, langid, lm, mixing, pii, quality, simhash, tokens, urls
+from touchline.llm import decontaminate, langid, licenses, lm, mixing, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
     "op2_mixing": mixing.query,
     "op3_simhash": simhash.query,
+    "op4_license_scan": licenses.query,
     "op5_decontamination": decontaminate.query,
     "op6_language_id": langid.query,
     "op7_url_filters": urls.query,
