@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from touchline.plans import tracking
+
+QUERIES = {**tracking.QUERIES}
+ORACLES = {**tracking.ORACLES}
