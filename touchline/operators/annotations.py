@@ -85,6 +85,6 @@ def line_keypoints(points: DataFrame, classes: DataFrame, most_line: int = 2, mo
     points: frame_id, class_idx, pos, x, y. classes: class_idx, is_circle.
     """
     rows = points.join(F.broadcast(classes), "class_idx")  # one row for each of 28 classes
-    order = Window.partitionBy("frame_id", "class_idx").orderBy(F.when(~F.col("is_circle"), F.col("x")), F.when(~F.col("is_circle"), F.col("y")), "pos")
+    order = Window.partitionBy("frame_id", "class_idx").orderBy(F.when(~F.col("is_circle"), F.col("x")), F.when(~F.col("is_circle"), F.col("y")), "pos", "x", "y")
     rows = rows.withColumn("pt_idx", F.row_number().over(order) - 1)
     return rows.filter(F.col("pt_idx") < F.when(F.col("is_circle"), most_circle).otherwise(most_line)).select("frame_id", "class_idx", "pt_idx", "x", "y")

@@ -15,10 +15,11 @@ def fit(samples: DataFrame, dims: int, rounds: int = 20, floor: float = 1e-3, le
     splitting the dimension of the largest variance at its mean; the larger component comes first.
     """
     x = [F.get("colour", F.lit(d)).cast("double") for d in range(dims)]
-    used = samples.filter(F.col("colour").isNotNull() & (sum((v * v for v in x[1:]), x[0] * x[0]) > 0)).select(*(v.alias(f"x{d}") for d, v in enumerate(x)))
+    used = samples.filter(F.col("colour").isNotNull() & (sum((v * v for v in x[1:]), x[0] * x[0]) > 0)).select(*(v.alias(f"x{d}") for d, v in enumerate(x))).persist()
     first = used.agg(F.count("*"), *(F.avg(f"x{d}") for d in range(dims)), *(F.var_pop(f"x{d}") for d in range(dims))).first()
     n, mean, var = first[0], first[1 : dims + 1], first[dims + 1 :]
     if n < least:
+        used.unpersist()
         return None
     wide = max(range(dims), key=lambda d: (var[d], -d))
     p = F.when(F.col(f"x{wide}") > mean[wide], 1.0).otherwise(0.0)
@@ -41,5 +42,6 @@ def fit(samples: DataFrame, dims: int, rounds: int = 20, floor: float = 1e-3, le
                 total = total - (F.col(f"x{d}") - means[k][d]) * (F.col(f"x{d}") - means[k][d]) / (2 * variances[k][d])
             logs.append(total)
         p = 1.0 / (1.0 + F.exp(logs[1] - logs[0]))
+    used.unpersist()
     order = sorted(range(2), key=lambda k: -model["weights"][k])
     return {k: [v[i] for i in order] for k, v in model.items()}

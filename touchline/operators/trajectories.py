@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.functions.pitch import FPS, MAX_SPEED, OUTLIER_SPEED, VELOCITY_CAP
 
 KEY = ["video_id", "track_id"]
-BY_FRAME = Window.partitionBy(*KEY).orderBy("frame_idx")
+#: Frames of a match that one task fills forward.
+BLOCK_FRAMES = 9000
+
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("frame_idx")
 
 
 def asof_homography(obs: DataFrame, homographies: DataFrame) -> DataFrame:
@@ -41,9 +46,6 @@ def asof_homography(obs: DataFrame, homographies: DataFrame) -> DataFrame:
     return filled.select(*names, *(F.col(f"_h.{e}").alias(e) for e in entries), (F.col("frame_idx") - F.col("_h.at")).alias("age"))
 
 
-BLOCK_FRAMES = 9000
-
-
 def rolling_calibration(refs: DataFrame, least: int = 50, rows: int = 200) -> DataFrame:
     """refs with slope and intercept of pitch_x on u and of pitch_y on v, over the last rows references of the match.
 
@@ -78,14 +80,14 @@ def _speed(near: Column, x: str = "pitch_x", y: str = "pitch_y") -> Column:
 def outliers(projected: DataFrame, limit: float = OUTLIER_SPEED, fps: float = FPS) -> DataFrame:
     """Projected observations with is_outlier: too fast from the one before and to the one after."""
     point = F.struct("frame_idx", "pitch_x", "pitch_y")
-    both = projected.withColumns({"_p": F.lag(point).over(BY_FRAME), "_n": F.lead(point).over(BY_FRAME)})
+    both = projected.withColumns({"_p": F.lag(point).over(by_frame()), "_n": F.lead(point).over(by_frame())})
     far = lambda c: _speed(F.col(c)) > limit / fps
     return both.withColumn("is_outlier", F.coalesce(far("_p") & far("_n"), F.lit(False))).drop("_p", "_n")
 
 
 def fill_gaps(points: DataFrame, x: str = "pitch_x", y: str = "pitch_y") -> DataFrame:
     """video_id, track_id, frame_idx, x, y on every frame between a track's first and last: linear between points."""
-    ahead = points.withColumn("_n", F.lead(F.struct("frame_idx", x, y)).over(BY_FRAME))
+    ahead = points.withColumn("_n", F.lead(F.struct("frame_idx", x, y)).over(by_frame()))
     span = F.sequence("frame_idx", F.coalesce(F.col("_n.frame_idx") - 1, F.col("frame_idx")))
     dense = ahead.withColumn("_f", F.explode(span))
     part = (F.col("_f") - F.col("frame_idx")) / (F.col("_n.frame_idx") - F.col("frame_idx"))
@@ -186,7 +188,7 @@ def velocities(dense: DataFrame, fps: float = FPS, keep: float = 0.7, most: floa
 
 def trails(points: DataFrame, length: int = 60) -> DataFrame:
     """The last positions of each track, with how many and the grey of the newest and the oldest."""
-    last = BY_FRAME.rowsBetween(1 - length, 0)
+    last = by_frame().rowsBetween(1 - length, 0)
     n = F.count("*").over(last)
     gray = lambda k: (F.lit(100) + 155 * (k / n)).cast("int")
     return points.withColumns({"trail": F.collect_list(F.struct("pitch_x", "pitch_y")).over(last), "points": n, "oldest_gray": gray(F.lit(1)), "newest_gray": gray(n)})
@@ -209,5 +211,5 @@ def heat_average(cells: DataFrame, keep: float = 0.9) -> DataFrame:
 
 def colour_memo(rows: DataFrame, colour: str = "colour") -> DataFrame:
     """The first colour other than 0 that a track showed up to a frame; 0 before."""
-    first = F.first(F.nullif(F.col(colour), F.lit(0)), ignorenulls=True).over(BY_FRAME.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(F.nullif(F.col(colour), F.lit(0)), ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("memo", F.coalesce(first, F.lit(0)))

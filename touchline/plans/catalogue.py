@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.plans import tracking
+from touchline.plans import motion, tracking
 
-QUERIES = {**tracking.QUERIES}
-ORACLES = {**tracking.ORACLES}
+QUERIES = {**tracking.QUERIES, **motion.QUERIES}
+ORACLES = {**tracking.ORACLES, **motion.ORACLES}
