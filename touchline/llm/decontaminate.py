@@ -281,6 +281,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+_WINDOWS = "unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'i': i, 'words': array_to_string(w[i:i + n - 1], ' ')})) AS s"
+
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT item_id, n, s.words AS words FROM (SELECT item_id, n, {_WINDOWS} FROM items)),
+places AS (SELECT doc_id, n, s.i AS i, s.words AS words FROM (SELECT doc_id, n, {_WINDOWS} FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, item_id, i, n FROM places JOIN windows USING (n, words)),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+owners AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+
 def clean_items(text: str | None, window: int = WINDOW) -> list[tuple]:
     """The windows of one item in plain Python, for tests."""
     import re

@@ -112,3 +112,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: the licenses that every document names."""
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"), "containment")
+
+
+def _oracle() -> str:
+    cells = []
+    for k, (name, text) in enumerate(TEMPLATES):
+        words = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).split()
+        cells += [f"({k}, '{name}', '{' '.join(words[i : i + SHINGLE])}')" for i in range(max(1, len(words) - SHINGLE + 1))]
+    return f"""
+WITH shingles(template, license, words) AS (SELECT DISTINCT * FROM (VALUES {", ".join(cells)})),
+docs AS (
+  SELECT doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) || ' ' AS words
+  FROM documents),
+shares AS (
+  SELECT doc_id, template, license, avg(CASE WHEN contains(docs.words, ' ' || shingles.words || ' ') THEN 1.0 ELSE 0.0 END) AS share
+  FROM docs, shingles GROUP BY 1, 2, 3),
+found AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n, max(share) AS share
+  FROM shares WHERE share >= {CONTAINMENT} GROUP BY 1)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses, coalesce(share, 0.0) AS containment
+FROM docs LEFT JOIN found USING (doc_id)
+"""
+
+
+#: A text's shingles are looked for anywhere in it; the operator asks for them in one region.
+ORACLE = _oracle()

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_license_scan": licenses.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op7_url_filters": urls.ORACLE,
 }
