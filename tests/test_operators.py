@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
 from touchline.functions import pitch
-from touchline.operators import annotations, datasets, filters, fragments, influence, mixture, tracking, tracks, trajectories
+from touchline.operators import annotations, colours, datasets, detections, filters, fragments, influence, mixture, tracking, tracks, trajectories
 from touchline.sources import readers
 
 
@@ -220,3 +220,35 @@ def test_xml_round_trip(spark, tmp_path):
     (tmp_path / "a.xml").write_text(f"<annotations>{xml}</annotations>")
     got = readers.read_images_xml(spark, str(tmp_path / "a.xml")).first()
     assert (got["frame_idx"], got["label"], got["xbr"], got["occluded"], got["attributes"]) == (3, "a<b", 3.5, True, {"track_id": "7"})
+
+
+def test_colour_spaces():
+    rgb = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255], [0, 0, 0]]], dtype=np.uint8)
+    assert colours.hsv(rgb)[0].tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 255], [0, 0, 0]]
+    assert np.allclose(colours.lab(rgb)[0, 3], [255, 128, 128], atol=0.5) and np.allclose(colours.lab(rgb)[0, 4], [0, 128, 128], atol=0.5)
+
+
+def test_crop_features(spark):
+    crop = np.zeros((40, 20, 3), np.uint8)
+    crop[:20], crop[20:] = (200, 30, 30), (30, 30, 200)
+    upper, lower = np.split(colours.dominant(crop), 2)
+    assert np.allclose(upper, colours.lab(crop[0, 0])) and np.allclose(lower, colours.lab(crop[-1, 0]))
+    assert np.allclose(colours.jersey(crop)[:3], colours.lab(crop[0, 0]))
+    assert not colours.jersey(crop[:10]).any() and not colours.dominant(crop[:10]).any()
+    assert np.linalg.norm(colours.histogram(crop)) == pytest.approx(1) and len(colours.histogram(crop)) == 768
+    grass = np.full((40, 20, 3), (20, 200, 20), np.uint8)
+    rows = [(1, 40, 20, crop.tobytes()), (2, 40, 20, grass.tobytes()), (3, 0, 0, None)]
+    got = {r[0]: r[1] for r in colours.features(spark.createDataFrame(rows, "crop_id bigint, height int, width int, pixels binary"), colours.dominant).collect()}
+    assert got[1] and got[2] is None and got[3] is None
+
+
+def test_suppression_keeps_the_best(spark):
+    rows = [(1, 0, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 0.8, 1.0, 1.0, 11.0, 11.0), (1, 0, 3, 0.7, 50.0, 0.0, 60.0, 10.0), (1, 1, 4, 0.1, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "video_id bigint, frame_idx bigint, det_id bigint, score double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["det_id"] for r in detections.suppress(df, 0.45).collect()) == [1, 3, 4]
+
+
+def test_command_line(capsys):
+    from touchline import cli
+
+    assert cli.main(["list"]) == 0 and "role_summary" in capsys.readouterr().out

@@ -46,3 +46,16 @@ def template() -> list[tuple[str, int, float, float]]:
     rows = [(name, k, *point) for name, points in ends.items() for k, point in enumerate(points)]
     turn = [2 * math.pi * k / 9 for k in range(9)]
     return rows + [("Circle central", k, CIRCLE_RADIUS * math.cos(a), CIRCLE_RADIUS * math.sin(a)) for k, a in enumerate(turn)]
+
+
+# fixed values: the lines of the pitch and goals in metres from a corner, heights negative
+LINES_3D = [
+    ((0.0, 54.16, 0.0), (16.5, 54.16, 0.0)), ((16.5, 13.84, 0.0), (16.5, 54.16, 0.0)), ((16.5, 13.84, 0.0), (0.0, 13.84, 0.0)),
+    ((88.5, 54.16, 0.0), (105.0, 54.16, 0.0)), ((88.5, 13.84, 0.0), (88.5, 54.16, 0.0)), ((88.5, 13.84, 0.0), (105.0, 13.84, 0.0)),
+    ((0.0, 37.66, -2.44), (0.0, 30.34, -2.44)), ((0.0, 37.66, 0.0), (0.0, 37.66, -2.44)), ((0.0, 30.34, 0.0), (0.0, 30.34, -2.44)),
+    ((105.0, 37.66, -2.44), (105.0, 30.34, -2.44)), ((105.0, 30.34, 0.0), (105.0, 30.34, -2.44)), ((105.0, 37.66, 0.0), (105.0, 37.66, -2.44)),
+    ((52.5, 0.0, 0.0), (52.5, 68.0, 0.0)), ((0.0, 68.0, 0.0), (105.0, 68.0, 0.0)), ((0.0, 0.0, 0.0), (0.0, 68.0, 0.0)),
+    ((105.0, 0.0, 0.0), (105.0, 68.0, 0.0)), ((0.0, 0.0, 0.0), (105.0, 0.0, 0.0)),
+    ((0.0, 43.16, 0.0), (5.5, 43.16, 0.0)), ((5.5, 43.16, 0.0), (5.5, 24.84, 0.0)), ((5.5, 24.84, 0.0), (0.0, 24.84, 0.0)),
+    ((99.5, 43.16, 0.0), (105.0, 43.16, 0.0)), ((99.5, 43.16, 0.0), (99.5, 24.84, 0.0)), ((99.5, 24.84, 0.0), (105.0, 24.84, 0.0)),
+]

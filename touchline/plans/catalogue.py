@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.plans import motion, tracking
+from touchline.plans import motion, scene, tracking
 
-QUERIES = {**tracking.QUERIES, **motion.QUERIES}
-ORACLES = {**tracking.ORACLES, **motion.ORACLES}
+QUERIES = {**tracking.QUERIES, **motion.QUERIES, **scene.QUERIES}
+ORACLES = {**tracking.ORACLES, **motion.ORACLES, **scene.ORACLES}
