@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a stage works on at once; a longer document is a block of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -64,6 +64,8 @@ def doc_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
             yield part, data, offsets
             at = to
+        del batch, column
+        pa.default_memory_pool().release_unused()
 
 
 class Words:

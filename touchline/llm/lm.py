@@ -33,7 +33,7 @@ from touchline.llm.kernels import HashIndex, Words, arrow_rows, arrow_schema, do
 #: Words with exact counts on every executor, and the most bytes of the filter there at once.
 HEAD, BROADCAST_BYTES = 1 << 19, 128 << 20
 #: Filter bits for an entry, bits that a probe looks at; tokens merged before they are sent; bigrams of a segment, about.
-ENTRY_BITS, PROBES, MERGE, SEGMENT = 10, 7, 3_000_000, 2_000_000
+ENTRY_BITS, PROBES, MERGE, SEGMENT = 10, 7, 2_000_000, 2_000_000
 MU, DISCOUNT = 300.0, 0.5
 END = np.uint64(0x9AE16A3B2F90404F)
 

@@ -21,7 +21,7 @@ from touchline.llm.common import documents, store, words_of
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO, REPEATS = 1.5, 2.0
 #: Words in a block; documents in a bucket of a source's stream, about; slots in a run of the schedule; cells for u.
-BLOCK, BUCKET, RUN, CELLS = 256, 2000, 4096, 1024
+BLOCK, BUCKET, RUN, CELLS = 256, 2000, 512, 1024
 GOLDEN = 0.6180339887498949
 
 

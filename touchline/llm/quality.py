@@ -131,13 +131,15 @@ def posterior(votes: tuple[int, ...], prior: float, table: list[dict[bool, tuple
     return 1 / (1 + math.exp(-z))
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Adds FEATURES, base_failed, quality (posterior, double) and kept to the rows of docs.
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """Adds FEATURES, base_failed, quality (posterior, double) and kept to the rows of docs, or to their columns carry alone.
 
     base_failed: under 10 words, or over 20 % of the words in repeated five-word windows.
     """
     drop = {"base_failed", "quality", "kept", *RULES_COLUMNS}
     rows = features(docs.drop(*drop), text).withColumns({f"vote_{k}": rule().cast("int") for k, rule in RULES.items()})
+    if carry is not None:
+        rows = rows.select(*carry, *FEATURES, *RULES_COLUMNS)
     rows = store(rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "quality")
     counted = rows.groupBy(*RULES_COLUMNS).count().collect()  # at most 3 ** len(RULES) rows
     prior, table = fit_votes(sorted((tuple(r[:-1]), r[-1]) for r in counted))
@@ -153,5 +155,5 @@ RULES_COLUMNS = [f"vote_{k}" for k in RULES]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document's base counts and verdict."""
-    out = judge(documents(spark, sf_dir).select("doc_id", "text"))
+    out = judge(documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

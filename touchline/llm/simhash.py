@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     named = linked.join(prints, linked["node"] == prints["fp"]).select("node", "label", "id")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     ids = prints.join(named.join(least, "label").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-    ids = ids.select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    # written, so that the last join deals both sides anew and a fingerprint of many rows can be split
+    ids = store(ids.select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
     return marked.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
