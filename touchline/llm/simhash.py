@@ -22,7 +22,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +159,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return marked.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is their component's id; of rows that share that id, one."""
-    found = near_duplicates(docs, text)
+def one_of_each(docs: DataFrame, text: str = "text", find: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs whose doc_id is their component's id, as find gives it; of rows that share that id, one."""
+    found = find(docs, text)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     again = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").limit(1).count()
