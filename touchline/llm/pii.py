@@ -3,14 +3,15 @@
 Patterns find e-mail addresses, IP and card numbers and phone numbers. Each distinct value is a
 protected entity. From corpus co-occurrence, a term t discloses an entity e by
 
-    PMI(e; t) / IC(e) = log(N df(e, t) / (df(e) df(t))) / log(N / df(e)),
+    PMI(e; t) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e)),  p(e) = df(e) / N,
+    p(e | t) = (df(e, t) + p(e)) / (df(t) + 1),
 
-which is 1 when t never occurs without e. In documents that hold e, terms at DISCLOSURE or above
-are spans too, to be generalised like the entity itself. Only pairs found in SUPPORT different
-texts count, so a word of one copied text is no evidence.
+which nears 1 when t never occurs without e. p(e | t) is smoothed by one document at e's background
+rate, so the fewer documents hold t, the less they prove. In documents that hold e, terms at
+DISCLOSURE or above are spans too, to be generalised like the entity itself.
 
-All documents count towards N and every df. Pairs are formed only for entities in SUPPORT texts,
-copies of a text once with their number.
+All entities take part, and all documents count towards N and every df; copies of a text are paired
+once with their number.
 
 Defined results: NULL and empty texts have no spans; repeated rows are judged one by one; an empty
 table gives an empty result; extra columns are ignored.
@@ -32,7 +33,7 @@ from touchline.llm.common import documents, store
 from touchline.llm.kernels import Words, arrow_rows, arrow_schema, doc_blocks, mix64, table, word_hash
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, SUPPORT = 0.9, 3
+DISCLOSURE = 0.9
 MERGE = 3_000_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -162,15 +163,20 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     held = found.filter(F.col("entities").isNotNull())
     texts = store(held.groupBy("text_hash").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies")), "texts")
     entities = texts.select(F.explode("entities").alias("e"), "copies").groupBy("e").agg(F.count("*").alias("texts"), F.sum("copies").alias("df_e"))
-    entities = store(entities.filter(F.col("texts") >= SUPPORT).select("e", "df_e"), "entities")
-    some = texts.select("text_hash", "copies", "terms", F.explode("entities").alias("e")).join(entities, "e")
-    pairs = some.select("e", "df_e", "copies", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.first("df_e").alias("df_e"), F.sum("copies").alias("df_et"), F.count("*").alias("support"))
-    pairs = store(pairs.filter(F.col("support") >= SUPPORT), "pairs")
-    n = found.count()
-    known = F.log2(F.lit(float(max(n, 2))) / F.col("df_e"))
-    pmi = F.log2(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.col("df")))
-    telling = pairs.join(document_frequencies(docs), "t").filter((known > 0) & (pmi >= DISCLOSURE * known)).select("e", "t")
-    mine = some.select("text_hash", "e", F.explode("terms").alias("t")).join(telling, ["e", "t"])
+    entities = store(entities.filter("texts > 1").select("e", "df_e"), "entities")
+    each = texts.select("text_hash", "copies", "terms", F.explode("entities").alias("e"))
+    some = each.join(entities, "e")
+    pairs = some.select("e", "df_e", "copies", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.first("df_e").alias("df_e"), F.sum("copies").alias("df_et"))
+    # the entities of one text alone have all counts in common: they are judged as one, under the text
+    single = texts.join(each.select("text_hash", "e").join(entities, "e", "left_anti").select("text_hash").distinct(), "text_hash", "left_semi")
+    alone = single.select(F.lit(True).alias("alone"), F.col("text_hash").alias("e"), F.explode("terms").alias("t"), F.col("copies").alias("df_e"), F.col("copies").alias("df_et"))
+    n = float(max(found.count(), 2))
+    rate = F.col("df_e") / n
+    pmi = F.log2((F.col("df_et") + rate) / (F.col("df") + 1) / rate)
+    judged = pairs.select(F.lit(False).alias("alone"), "e", "t", "df_e", "df_et").unionByName(alone).join(document_frequencies(docs), "t")
+    telling = store(judged.filter((rate < 1) & (pmi >= DISCLOSURE * F.log2(1 / rate))).select("alone", "e", "t"), "telling")
+    mine = some.select("text_hash", "e", F.explode("terms").alias("t")).join(telling.filter("not alone"), ["e", "t"]).select("text_hash", "t")
+    mine = mine.union(telling.filter("alone").select("e", "t"))
     mine = mine.groupBy("text_hash").agg(F.collect_set("t").alias("telling"))
     return held.select("row", "text_hash").join(mine, "text_hash").select("row", "telling")
 
