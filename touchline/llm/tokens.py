@@ -12,12 +12,15 @@ ordered by text; an empty table writes no shard; extra columns of the input are
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,11 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Re-Pair: rounds at most, rules of a shard at most, uses that make a rule worth its two symbols.
 ROUNDS, MAX_RULES, MIN_USES = 8, 16_000, 8
+#: Bits of a cell's number in the table of a round's pairs.
+CELL_BITS = 17
+
+#: Words whose pieces can be counted: signs and letters up to U+00FF, which normalisation leaves as they are.
+_LATIN = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
 
 FORMAT = "part int, shard int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, base int, rules binary, expansions binary, symbols binary"
 
@@ -37,8 +45,9 @@ FORMAT = "part int, shard int, doc_ids array<bigint>, doc_tokens array<bigint>,
 class WordEncoder:
     """Token ids of words, each distinct one tokenized once and remembered.
 
-    The tokenizer works on stretches without white space alone, so a text's ids are those of
-    its words in turn. A full stop or comma that ends a word of letters is a stretch too.
+    It serves tokenizers that lower-case, drop white space and then work on the pieces that a pattern
+    finds (checked on the file: ValueError for others), so a text's ids are those of its words in
+    turn. A full stop or comma that ends a word of letters is a piece too.
     """
 
     MEMO = 4_000_000
@@ -47,6 +56,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        steps = [made["pre_tokenizer"], *(made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        split = next((x for x in steps if x and x["type"] == "Split"), None)
+        if split is None or not split["invert"] or split["behavior"] != "Removed" or "Lowercase" not in json.dumps(made["normalizer"]) or any(not t["content"].startswith("<|") for t in made["added_tokens"]):
+            raise ValueError(f"{path} is no tokenizer of lower-cased words without white space")
+        #: The pattern of its pieces; None where a piece's last id does not tell that it is the last.
+        self.pieces = regex.compile(split["pattern"]["Regex"]) if made["model"].get("end_of_word_suffix") == "</w>" else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
@@ -54,39 +70,48 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.index, self.ids = HashIndex(), np.zeros(1 << 16, np.uint32)
-        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words of letters alone are one run of pieces each, told apart by its last piece."""
-        out: list[list[int]] = [[]] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        other = [i for i, w in enumerate(words) if not w.isalpha()]
-        groups = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, dtype=np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and (not len(cuts) or cuts[-1] == len(ids)):
-                for i, piece in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                    out[i] = piece.tolist()
-            else:
-                other += group
-        for i, made in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = made.ids
-        return out
+        self.start, self.size, self.used = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def _batched(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, ids of each word) of words tokenized as one text; None if its pieces are not those expected.
+
+        Pieces never cross a space, and each ends with an id of self.ends, so counts of pieces tell the words apart.
+        """
+        if not all(map(_LATIN.fullmatch, words)):
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        pieces = np.array([1 if w.isalpha() else len(self.pieces.findall(w.lower())) for w in words], dtype=np.int64)
+        if len(cuts) != pieces.sum() or (len(cuts) and cuts[-1] != len(ids)):
+            return None
+        bounds = np.concatenate([[0], cuts])[np.concatenate([[0], np.cumsum(pieces)])]
+        return ids, np.diff(bounds)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each word)."""
+        if (made := self._batched(words) if self.pieces else None) is not None:
+            return made
+        lists = [m.ids for m in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for m in lists for i in m], np.uint32), np.array([len(m) for m in lists], np.int64)
 
     def _learn(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> None:
         if len(self.index.keys) + len(hashes) > self.MEMO:
             self._clear()
-        made = self._encode([words.text(i).decode() for i in at])
-        sizes = np.array([len(m) for m in made], dtype=np.int64)
-        flat = np.array([x for m in made for x in m], dtype=np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.used += len(flat)
-        self.index.add(hashes)
+        raw = words.data.tobytes()
+        texts = b"\n".join([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]).decode().split("\n")
+        latin = np.fromiter((_LATIN.fullmatch(w) is not None for w in texts), bool, len(texts))
+        for some in (np.flatnonzero(latin), np.flatnonzero(~latin)):
+            for k in range(0, len(some), 2000):
+                these = some[k : k + 2000]
+                flat, sizes = self._encode([texts[i] for i in these.tolist()])
+                while self.used + len(flat) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+                self.ids[self.used : self.used + len(flat)] = flat
+                self.start.append(self.used + np.cumsum(sizes) - sizes)
+                self.size.append(sizes)
+                self.used += len(flat)
+            self.index.add(hashes[some])
+        self.start, self.size = [np.concatenate(self.start)], [np.concatenate(self.size)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by END_ID; ids of each text) for a block of texts."""
@@ -115,7 +140,7 @@ class WordEncoder:
                 hashes, where = np.unique(words.hashes[missing], return_index=True)
                 self._learn_more(words, hashes, missing[where])
                 known = self.index.find(words.hashes)
-        size = self.size[known]
+        size = self.size[0][known]
         total = np.concatenate([[0], np.cumsum(size)])
         per_doc = total[words.first[1:]] - total[words.first[:-1]] + 1
         out = np.empty(int(total[-1]) + len(per_doc), np.uint32)
@@ -123,7 +148,7 @@ class WordEncoder:
         to = total[:-1] + shift
         if len(size):
             inner = np.arange(int(total[-1])) - np.repeat(total[:-1], size)
-            out[inner + np.repeat(to, size)] = self.ids[inner + np.repeat(self.start[known], size)]
+            out[inner + np.repeat(to, size)] = self.ids[inner + np.repeat(self.start[0][known], size)]
         out[np.cumsum(per_doc) - 1] = END_ID
         return out, per_doc
 
@@ -140,18 +165,21 @@ def compress(ids: np.ndarray, base: int, stop: int = END_ID) -> tuple[np.ndarray
     them where they are the more frequent of the two pairs that want a symbol.
     """
     seq = ids.astype(np.uint32)
+    narrow = base + MAX_RULES <= 1 << 16  # then a pair fits into 32 bits
+    kind, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    none = np.iinfo(kind).max
     rules: list[np.ndarray] = []
     n_rules = 0
     for turn in range(ROUNDS):
         if len(seq) < 2 or n_rules >= MAX_RULES:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        keys[seq[:-1] == stop] = np.uint64(2**64 - 1)
+        keys = (seq[:-1].astype(kind) << half) | seq[1:].astype(kind)
+        keys[seq[:-1] == stop] = none
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(edge, len(ordered)))
         pairs = ordered[edge]
-        often = (counts >= MIN_USES) & (pairs != np.uint64(2**64 - 1))
+        often = (counts >= MIN_USES) & (pairs != none)
         pairs, counts = pairs[often], counts[often]
         most = min(MAX_RULES // 4, MAX_RULES - n_rules)
         best = np.argsort(-counts, kind="stable")[:most]
@@ -159,30 +187,32 @@ def compress(ids: np.ndarray, base: int, stop: int = END_ID) -> tuple[np.ndarray
         if not len(pairs):
             break
         # a direct-mapped table of the pairs; where two want a cell the more frequent stays
-        spin = np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
-        cell = ((pairs * spin) >> np.uint64(47)).astype(np.int64)
-        cells = np.full(1 << 17, -1, np.int32)
-        cells[cell[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        rule = cells[((keys * spin) >> np.uint64(47)).astype(np.int64)]
-        rule[(rule >= 0) & (pairs[rule] != keys)] = -1
-        weight = np.where(rule >= 0, counts[rule], 0)
-        padded = np.concatenate([[0], weight, [0]])
-        take = (weight > 0) & (weight > padded[:-2]) & (weight >= padded[2:])
+        spin, shift = kind((0x9E3779B97F4A7C15 >> (32 if narrow else 0)) + 2 * turn), kind((32 if narrow else 64) - CELL_BITS)
+        cells = np.full(1 << CELL_BITS, -1, np.int16)
+        cells[((pairs * spin) >> shift)[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int16)
+        rule = cells.take((keys * spin) >> shift)
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        same = pairs[rule] == keys[at]
+        at, rule = at[same], rule[same]
+        weight, beside = counts[rule], np.diff(at) == 1
+        take = np.ones(len(at), dtype=bool)
+        take[1:] &= ~beside | (weight[1:] > weight[:-1])
+        take[:-1] &= ~beside | (weight[:-1] >= weight[1:])
         uses = np.bincount(rule[take], minlength=len(pairs))
         kept = uses >= MIN_USES // 2
-        take &= kept[rule] & (rule >= 0)
+        take &= kept[rule]
         if not take.any():
             break
-        number = np.cumsum(kept) - 1 + n_rules + base
-        at = np.flatnonzero(take)
-        made = seq.copy()
-        made[at] = number[rule[at]]
-        gone = np.zeros(len(seq), dtype=bool)
-        gone[at + 1] = True
-        seq = made[~gone]
-        chosen = pairs[kept]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1))
-        n_rules += len(chosen)
+        number = (np.cumsum(kept) - 1 + n_rules + base).astype(np.uint32)
+        at, rule = at[take], rule[take]
+        seq[at] = number[rule]
+        left = np.ones(len(seq), dtype=bool)
+        left[at + 1] = False
+        seq = seq[left]
+        chosen = pairs[kept].astype(np.uint64)
+        rules.append(np.stack([chosen >> np.uint64(half), chosen & np.uint64((1 << int(half)) - 1)], axis=1).astype(np.uint32))
+        n_rules += int(kept.sum())
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, table_, expansions(table_, base)
 
@@ -195,8 +225,8 @@ def expansions(rules: np.ndarray, base: int) -> np.ndarray:
     return size
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+def _unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for, level by level."""
     seq = symbols.astype(np.uint32)
     while (big := seq >= base).any():
         size = np.where(big, 2, 1)
@@ -209,6 +239,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that symbols stand for: every rule is unfolded once, and symbols are looked up."""
+    if not len(rules) or not len(symbols):
+        return symbols.astype(np.uint32)
+    size = np.concatenate([np.ones(base, np.int32), expansions(rules, base).astype(np.int32)])
+    start = np.cumsum(size, dtype=np.int64) - size
+    unfolded = np.concatenate([np.arange(base, dtype=np.uint32), _unfold(rules.ravel(), rules, base)])
+    each = size[symbols]
+    ahead = np.cumsum(each, dtype=np.int64) - each
+    return unfolded[np.repeat(start[symbols] - ahead, each) + np.arange(int(each.sum()))]
+
+
 def _kind(base: int) -> np.dtype:
     return np.dtype("<u2") if base + MAX_RULES <= 1 << 16 else np.dtype("<u4")
 
