@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give the matched entities away.
 
-Patterns find e-mail addresses, IP and card numbers and phone numbers. Each distinct value is a
-protected entity. From corpus co-occurrence, a term t discloses an entity e by
+Patterns find e-mail addresses, IP and card numbers, phone numbers and secrets (keys, passwords).
+Each distinct value is a protected entity. From corpus co-occurrence, a term t discloses an entity e by
 
     PMI(e; t) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e)),  p(e) = df(e) / N,
     p(e | t) = (df(e, t) + p(e)) / (df(t) + 1),
@@ -13,8 +13,9 @@ DISCLOSURE or above are spans too, to be generalised like the entity itself.
 All entities take part, and all documents count towards N and every df; copies of a text are paired
 once with their number.
 
-Defined results: NULL and empty texts have no spans; repeated rows are judged one by one; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: NULL and empty texts have no spans; NULL ids are carried along; runs of digits may
+have any length; repeated rows are judged one by one; a term exactly at the threshold is a span; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from touchline.llm.common import documents, store
 from touchline.llm.kernels import Words, arrow_rows, arrow_schema, doc_blocks, mix64, table, word_hash
 
 KINDS = ("email", "ip", "card", "phone")
+#: Secrets: public forms of keys (fixed values), and values of at least eight characters with a digit that are set to a telling name.
+SECRET_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "AIza", "sk_live_", "-----BEGIN")
+SECRET_NAMES = ("password", "passwd", "secret", "api_key", "api-key", "apikey", "access_token", "auth_token")
 DISCLOSURE = 0.9
 MERGE = 3_000_000
 
@@ -42,6 +46,8 @@ _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_VALUE = re.compile("(?:" + "|".join(SECRET_NAMES) + r")[\x22']?[\x20]?[=:][\x20]?[\x22']?(?=[^\s\x22']{0,200}[0-9])([^\s\x22',;]{8,})", re.IGNORECASE)
 
 
 def _digits(text: str) -> str:
@@ -69,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("email", m.start() - size, m.end()))
             end = free = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -80,8 +86,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """("secret", start, end) of keys and of values set to a telling name, by start; none overlap."""
+    found = [m.span() for m in _KEY.finditer(text)] if any(m in text for m in SECRET_MARKS) else []
+    small = text.lower()
+    if any(n in small for n in SECRET_NAMES):
+        found += [m.span(1) for m in _VALUE.finditer(text)]
+    out: list[tuple[str, int, int]] = []
+    for a, b in sorted(found):
+        if not out or a >= out[-1][2]:
+            out.append(("secret", a, b))
+    return out
+
+
 def _entity(kind: str, value: str) -> int:
-    value = value.lower() if kind == "email" else value if kind == "ip" else _digits(value)
+    value = value.lower() if kind == "email" else _digits(value) if kind in ("card", "phone") else value
     return int(np.array([word_hash(f"{kind}:{value}".encode())], np.uint64).view(np.int64)[0])
 
 
@@ -102,7 +121,7 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np
     return words.hashes[free].view(np.int64), starts[free], ends[free]
 
 
-FOUND = "doc_id bigint, row bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, text string, text_hash bigint, entities array<bigint>, terms array<bigint>"
+FOUND = "doc_id bigint, row bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, base string, found string, text string, text_hash bigint, entities array<bigint>, terms array<bigint>"
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
@@ -112,21 +131,22 @@ def find_entities(docs: DataFrame) -> DataFrame:
         schema, row = arrow_schema(FOUND), TaskContext.get().partitionId() << 33
         for part, data, offsets in doc_blocks(batches):
             raw, n = data.tobytes(), len(offsets) - 1
-            # only texts with a digit or an @ can match
-            mark = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
+            # only texts with a digit, an @ or a dash (key headers) can match
+            mark = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64) | (data == 45))])
             hopeful = np.flatnonzero(mark[offsets[1:]] > mark[offsets[:-1]]).tolist()
             spans: dict[int, list] = {}
             cells: dict[str, list] = {c: [None] * n for c in ("text", "text_hash", "entities", "terms")}
             for i in hopeful:
                 text = raw[offsets[i] : offsets[i + 1]].decode()
-                if found := base_spans(text):
+                if found := base_spans(text) + secret_spans(text):
                     spans[i] = found
                     hashes = np.unique(_terms(text, found)[0])
                     cells["text"][i], cells["terms"][i] = text, hashes
                     cells["text_hash"][i] = int(np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), np.int64)[0])
                     cells["entities"][i] = sorted({_entity(k, text[a:b]) for k, a, b in found})
-            counts = [[sum(s[0] == kind for s in spans.get(i, ())) for i in range(n)] for kind in KINDS]
-            yield arrow_rows(schema, part.column(0), row + np.arange(n), *counts, [_join(spans.get(i, ())) for i in range(n)], *cells.values())
+            counts = [[sum(s[0] == kind for s in spans.get(i, ())) for i in range(n)] for kind in (*KINDS, "secret")]
+            base = [_join([s for s in spans.get(i, ()) if s[0] in KINDS]) for i in range(n)]
+            yield arrow_rows(schema, part.column(0), row + np.arange(n), *counts, base, [_join(spans.get(i, ())) for i in range(n)], *cells.values())
             row += n
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
@@ -159,29 +179,33 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """row, terms: the words of each row of found that disclose one of its entities."""
+    """row, terms: the words of each row of found that disclose one of its entities.
+
+    Entities of the same texts have all counts in common and are judged as one class. As df(e, t)
+    is at most df(e), a term that is in more than (df(e) + p(e)) / p(e) ** (1 - DISCLOSURE) - 1
+    documents can't disclose e: it is left out before terms meet classes, and nothing is lost.
+    """
     held = found.filter(F.col("entities").isNotNull())
     texts = store(held.groupBy("text_hash").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies")), "texts")
-    entities = texts.select(F.explode("entities").alias("e"), "copies").groupBy("e").agg(F.count("*").alias("texts"), F.sum("copies").alias("df_e"))
-    entities = store(entities.filter("texts > 1").select("e", "df_e"), "entities")
-    each = texts.select("text_hash", "copies", "terms", F.explode("entities").alias("e"))
-    some = each.join(entities, "e")
-    pairs = some.select("e", "df_e", "copies", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.first("df_e").alias("df_e"), F.sum("copies").alias("df_et"))
-    # the entities of one text alone have all counts in common: they are judged as one, under the text
-    single = texts.join(each.select("text_hash", "e").join(entities, "e", "left_anti").select("text_hash").distinct(), "text_hash", "left_semi")
-    alone = single.select(F.lit(True).alias("alone"), F.col("text_hash").alias("e"), F.explode("terms").alias("t"), F.col("copies").alias("df_e"), F.col("copies").alias("df_et"))
+    each = texts.select("text_hash", "copies", F.explode("entities").alias("e"))
+    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("text_hash")), F.bit_xor(F.xxhash64("text_hash", F.lit(1))))
+    entities = each.groupBy("e").agg(same.alias("class"), F.sum("copies").alias("df_e"))
+    classes = store(each.join(entities, "e").select("text_hash", "class", "copies", "df_e").distinct(), "classes")
     n = float(max(found.count(), 2))
     rate = F.col("df_e") / n
+    most = (F.col("df_e") + rate) / F.pow(rate, F.lit(1 - DISCLOSURE)) - 1 + 1e-6
+    widest = classes.filter(rate < 1).agg(F.max(most)).first()[0] or 0.0
+    rare = document_frequencies(docs).filter(F.col("df") <= widest)
+    words = texts.select("text_hash", F.explode("terms").alias("t")).join(rare, "t")
+    met = store(words.join(classes, "text_hash").filter((rate < 1) & (F.col("df") <= most)).select("text_hash", "class", "t", "copies", "df_e", "df"), "met")
+    pairs = met.groupBy("class", "t").agg(F.first("df_e").alias("df_e"), F.first("df").alias("df"), F.sum("copies").alias("df_et"))
     pmi = F.log2((F.col("df_et") + rate) / (F.col("df") + 1) / rate)
-    judged = pairs.select(F.lit(False).alias("alone"), "e", "t", "df_e", "df_et").unionByName(alone).join(document_frequencies(docs), "t")
-    telling = store(judged.filter((rate < 1) & (pmi >= DISCLOSURE * F.log2(1 / rate))).select("alone", "e", "t"), "telling")
-    mine = some.select("text_hash", "e", F.explode("terms").alias("t")).join(telling.filter("not alone"), ["e", "t"]).select("text_hash", "t")
-    mine = mine.union(telling.filter("alone").select("e", "t"))
-    mine = mine.groupBy("text_hash").agg(F.collect_set("t").alias("telling"))
+    telling = pairs.filter(pmi >= DISCLOSURE * F.log2(1 / rate)).select("class", "t")
+    mine = met.join(telling, ["class", "t"], "left_semi").groupBy("text_hash").agg(F.collect_set("t").alias("telling"))
     return held.select("row", "text_hash").join(mine, "text_hash").select("row", "telling")
 
 
-SPANS = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, sanitised string"
+SPANS = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_secret bigint, base string, spans string, sanitised string"
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -194,9 +218,9 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
         schema = arrow_schema(SPANS)
         for batch in batches:
             at = batch.schema.names
-            base, texts, telling = (batch.column(at.index(c)).to_pylist() for c in ("base", "text", "telling"))
+            known, texts, telling = (batch.column(at.index(c)).to_pylist() for c in ("found", "text", "telling"))
             spans, clean = [], []
-            for b, t, terms in zip(base, texts, telling, strict=True):
+            for b, t, terms in zip(known, texts, telling, strict=True):
                 mine = [(k, int(x), int(y)) for k, x, y in (s.split(":") for s in b.split(","))] if b else []
                 if terms:
                     hashes, starts, ends = _terms(t, mine)
@@ -204,9 +228,9 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
                     mine += [("term", x, y) for x, y in zip(starts[use].tolist(), ends[use].tolist(), strict=True)]
                 spans.append(_join(mine))
                 clean.append(mask(t, mine) if mine else None)
-            yield arrow_rows(schema, *(batch.column(at.index(c)) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base")), spans, clean)
+            yield arrow_rows(schema, *(batch.column(at.index(c)) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base")), spans, clean)
 
-    return every.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "text", "telling").mapInArrow(run, SPANS)
+    return every.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "base", "found", "text", "telling").mapInArrow(run, SPANS)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -222,4 +246,4 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the spans of personal data in every document."""
     made = sanitise(documents(spark, sf_dir).select("doc_id", "text"))
-    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret")
