@@ -13,9 +13,11 @@ BLANKS = "\t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset a temporary one, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,6 +35,22 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column of df."""
+    known = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, but for maps, which have no order."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

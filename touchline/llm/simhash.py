@@ -17,7 +17,7 @@ to the shared folder. A component's id is its smallest doc_id.
 
 Defined results: NULL, empty and blank texts have fingerprint 0; a NULL doc_id counts as the
 largest and is an id only where a component has no other; repeated rows are one group; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored, and one_of_each carries them along.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, store
+from touchline.llm.common import documents, fresh, row_hash, store
 from touchline.llm.kernels import arrow_rows, arrow_schema, doc_blocks
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -56,17 +56,22 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a bigint) of every row."""
-    out = "doc_id bigint, fp bigint"
+def row_key(key: str | None) -> Column:
+    """The column by which a caller knows its rows again; NULL if it needs none."""
+    return (F.col(key) if key else F.lit(None)).cast("long").alias("key")
+
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """doc_id, key, fp (the 64 bits as a bigint) of every row."""
+    out = "doc_id bigint, key bigint, fp bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(out)
         for rows, data, offsets in doc_blocks(batches):
             raw = data.tobytes()
-            yield arrow_rows(schema, rows.column(0), [fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            yield arrow_rows(schema, rows.column(0), rows.column(1), [fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(key), F.col(text).alias("text")).mapInArrow(run, out)
 
 
 def _bits(fp: Column, low: int, size: int) -> Column:
@@ -146,26 +151,35 @@ def components(edges: DataFrame) -> DataFrame:
         seen = (n, total)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row of docs."""
-    marked = store(fingerprints(docs, text), "fingerprints")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """doc_id, key, fp, group (the component, named by its least fingerprint), component_id of every row of docs."""
+    marked = store(fingerprints(docs, text, key), "fingerprints")
     prints = store(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "prints")
     linked = components(links(prints.select("fp")))
     named = linked.join(prints, linked["node"] == prints["fp"]).select("node", "label", "id")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    ids = prints.join(named.join(least, "label").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
+    ids = prints.join(named.join(least, "label").select(F.col("node").alias("fp"), "label", "component_id"), "fp", "left")
     # written, so that the last join deals both sides anew and a fingerprint of many rows can be split
-    ids = store(ids.select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
-    return marked.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    ids = store(ids.select("fp", F.coalesce("label", "fp").alias("group"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    return marked.join(ids, "fp", "left").select("doc_id", "key", "fp", "group", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", find: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of docs whose doc_id is their component's id, as find gives it; of rows that share that id, one."""
-    found = find(docs, text)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    again = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+def one_of_each(docs: DataFrame, text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """One row of docs for each group that find gives: that of the smallest doc_id, NULL last; of equal ids that of the least hash.
+
+    Rows are known by their id and the hash of all their columns, so rows that share an id, or
+    have none, are told apart; only rows equal in every column are one and the same.
+    """
+    names = docs.columns
+    mark, first_id, first_key, n = fresh(docs, "_row_key", "_first_id", "_first_key", "_n")
+    keyed = docs.withColumn(mark, row_hash(docs))
+    found = find(keyed, text, mark).groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("f"))
+    first = store(first.select(F.col("f.doc_id").alias(first_id), F.col("f.key").alias(first_key), F.col("f.n").alias(n)), "kept")
+    kept = keyed.join(first, (keyed[mark] == first[first_key]) & keyed["doc_id"].cast("long").eqNullSafe(first[first_id]))
+    if first.filter(F.col(n) > 1).limit(1).count():
+        kept = kept.filter(F.col(n) == 1).unionByName(kept.filter(F.col(n) > 1).dropDuplicates([first_id, first_key]))
+    return kept.select(*(F.col(f"`{c}`") for c in names))
 
 
 def hex_digits(fp: Column) -> Column:
