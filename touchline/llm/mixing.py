@@ -6,9 +6,13 @@ shuffled stream, starting over at its end. A source's last slot is cut so that i
 target to the word. Offsets within a source come from two-level prefix sums over buckets, so no
 task sees a whole source, however large.
 
+mixed_sizes tells the slots of every document, and mixed_documents gives its rows in the order of
+the slots, so that any stretch of the mixture has about the target shares.
+
 Defined results: NULL and empty texts have size 0 and are never taken; NULL is a source of its
-own, ranked last; repeated rows are separate documents; an empty table gives an empty result;
-extra columns are carried by mix() and those named like its output are replaced.
+own, ranked last; repeated rows are separate documents, and rows equal in id, source and text may
+stand for each other; an empty table gives an empty result; extra columns are ignored by
+mixed_sizes and carried by mixed_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, store, words_of
+from touchline.llm.common import blank_to_space, documents, store, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 RATIO, REPEATS = 1.5, 2.0
@@ -55,13 +59,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: flo
 
 
 def streams(sized: DataFrame, seed: int) -> DataFrame:
-    """Adds start (long): the document's first word in its source's shuffled stream. Needs doc_id, size, _src, _n_src."""
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    """Adds start (long): the document's first word in its source's shuffled stream. Needs doc_id, size, _hash, _src, _n_src."""
+    h = F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("_hash")), F.lit(seed))
     df = sized.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.greatest(F.lit(1), F.ceil(F.col("_n_src") / BUCKET)).cast("long")))
     totals = df.groupBy("_src", "_bucket").agg(F.sum("size").alias("_in"))
     ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_in").over(ahead), F.lit(0))).drop("_in")
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_src", "_bucket").orderBy("_h", "doc_id", "_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return df.join(totals, ["_src", "_bucket"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket", "_h")
 
@@ -107,7 +111,7 @@ def _per_cell(df: DataFrame, low: str, high: str, block: int) -> DataFrame:
 def mix(sized: DataFrame, seed: int = 42, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(documents with source_size, target, start; pieces: slot, pass, _src, start, from_word, to_word).
 
-    sized: doc_id, source, size and any key columns, read more than once. A piece is the run of a
+    sized: doc_id, source, size, _hash (of the text) and any key columns, read more than once. A piece is the run of a
     document's words that a slot takes, pass counting the times the source has started over;
     (_src, start) names the document, as every document with words has a place of its own.
     """
@@ -126,35 +130,64 @@ def mix(sized: DataFrame, seed: int = 42, block: int = BLOCK) -> tuple[DataFrame
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
-    sized = store(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    """doc_id, size, source_size, target, taken, first_slot, n_slots of every row of docs (doc_id, text, source).
+
+    first_slot: the schedule's first slot that takes words of the document (NULL if none), n_slots: how many do.
+    """
+    sized = store(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("source", "text").alias("_hash")), "sizes")
     placed, pieces = mix(sized)
-    took = pieces.groupBy("_src", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    took = pieces.groupBy("_src", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
     with_words = placed.filter("size > 0").join(took, ["_src", "start"], "left")
-    without = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    every = with_words.unionByName(without)
-    return every.select("doc_id", "size", "source_size", F.col("target").cast("double"), F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    every = with_words.unionByName(placed.filter("size = 0"), allowMissingColumns=True)
+    none = F.lit(0).cast("long")
+    return every.select("doc_id", "size", "source_size", F.col("target").cast("double"), F.coalesce("taken", none).alias("taken"), "first_slot", F.coalesce("n_slots", none).alias("n_slots"))
+
+
+def _cut(text: Column, from_word: Column, to_word: Column) -> Column:
+    """The text from the start of word from_word to the end of the word before to_word, white space kept."""
+    long = lambda x: F.lit(x).cast("long")
+    zero = F.struct(long(0).alias("at"), long(0).alias("n"), long(0).alias("a"), long(0).alias("b"))
+
+    def step(acc: Column, x: Column) -> Column:
+        word, size = x != "", F.length(x).cast("long")
+        return F.struct(
+            (acc["at"] + size + 1).alias("at"),
+            (acc["n"] + word.cast("long")).alias("n"),
+            F.when(word & (acc["n"] == from_word), acc["at"]).otherwise(acc["a"]).alias("a"),
+            F.when(word & (acc["n"] + 1 == to_word), acc["at"] + size).otherwise(acc["b"]).alias("b"),
+        )
+
+    ends = F.aggregate(F.split(blank_to_space(text), " ", -1), zero, step)
+    return F.substring(text, (ends["a"] + 1).cast("int"), (ends["b"] - ends["a"]).cast("int"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The mixture as rows of docs: one for each pass over a document, its text cut where its source's target ends."""
-    columns = docs.columns
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "_hash": F.xxhash64(F.col("source"), F.col(text))}
-    sized = store(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), *(c.alias(k) for k, c in keys.items())), "sizes")
+    """The mixture as rows of docs, in the order of the schedule's slots: one for each pass over a document, at its first slot there.
+
+    A text is cut where its source's target ends; n_chars, where docs has it, is then the cut text's.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("\0")).alias("_id"), F.xxhash64(F.col("row.source"), F.col("row")[text]).alias("_hash"))
+    sized = store(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.col("row")[text]).alias("size"), "_id", "_hash"), "sizes")
     placed, pieces = mix(sized)
-    spans = pieces.groupBy("_src", "start", "pass").agg(F.min("from_word").alias("_from"), F.max("to_word").alias("_to"))
-    spans = spans.join(placed.filter("size > 0").select("_src", "start", "_id", "_hash", "size"), ["_src", "start"]).select("_src", "start", "pass", "_from", "_to", "size", "_id", "_hash")
-    rows = docs.withColumns(keys)
+    spans = pieces.groupBy("_src", "start", "pass").agg(F.min("slot").alias("_slot"), F.min("from_word").alias("_from"), F.max("to_word").alias("_to"))
+    spans = store(spans.join(placed.filter("size > 0").select("_src", "start", "_id", "_hash", "size"), ["_src", "start"]).select("_src", "start", "pass", "_slot", "_from", "_to", "size", "_id", "_hash"), "spans")
     many = sized.groupBy("_id", "_hash").agg(F.count("*").alias("_rows"))
     joined = rows.join(spans.join(many, ["_id", "_hash"]), ["_id", "_hash"])
     # equal rows find the passes of all of them: keep each pass once
     once = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["_id", "_hash", "_src", "start", "pass"]))
-    cut = F.array_join(F.slice(words_of(F.col(text)), F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")), " ")
+    # slots take equal numbers of words, so equal runs of slots make equal partitions, each after the one before
+    parts, last = int(spark.conf.get("spark.sql.shuffle.partitions")), spans.agg(F.max("_slot")).first()[0] or 0
+    once = once.repartitionById(parts, F.floor(F.col("_slot") * parts / (last + 1)).cast("int")).sortWithinPartitions("_slot", "_src", "start", "pass")
     whole = (F.col("_from") == 0) & (F.col("_to") == F.col("size"))
-    length = {"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast("long"))} if "n_chars" in columns else {}
-    return once.withColumns({**length, text: F.when(whole, F.col(text)).otherwise(cut)}).select(*columns)
+    made = F.when(whole, F.col("row")[text]).otherwise(_cut(F.col("row")[text], F.col("_from"), F.col("_to")))
+    cells = {c: F.col("row")[c] for c in columns} | {text: made}
+    if "n_chars" in columns:
+        cells["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(made).cast("long"))
+    return once.select(*(c.alias(k) for k, c in cells.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: what the mixture takes of every document."""
+    """op2: what the mixture takes of every document, and where in the schedule."""
     return mixed_sizes(documents(spark, sf_dir).select("doc_id", "text", "source"))

@@ -12,6 +12,7 @@ ordered by text; an empty table writes no shard; extra columns of the input are
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import uuid
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -280,10 +282,20 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text") -> None:
-    """Write docs as shards under path."""
-    ordered = docs.select("doc_id", F.col(text).alias("text")).withColumn("_h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text").select("doc_id", "text")
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text", keep_order: bool = False) -> None:
+    """Write docs as shards under path, by doc_id.
+
+    keep_order: in the order in which docs stands in its files, if it is read from files.
+    """
+    place = None
+    if keep_order:
+        with contextlib.suppress(AnalysisException):  # no files, no such columns
+            place = docs.select("doc_id", F.col(text).alias("text"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    if place is not None:
+        ordered = place.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").select("doc_id", "text")
+    else:
+        ordered = docs.select("doc_id", F.col(text).alias("text")).withColumn("_h", F.xxhash64("text"))
+        ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text").select("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, n = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -342,11 +354,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Write docs in the file format and read the files back."""
+def encode_documents(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, keep_order: bool = False) -> DataFrame:
+    """Write docs in the file format, in the order of write_shards, and read the files back."""
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/touchline/tokens-{uuid.uuid4().hex}"
-    write_shards(docs, path, tokenizer or tokenizer_path())
+    write_shards(docs, path, tokenizer or tokenizer_path(), keep_order=keep_order)
     return read_shards(spark, path)
 
 

@@ -2,12 +2,13 @@
 
 A URL becomes every expression (host suffix, path prefix) that a rule could have; expressions
 meet the rules in an equi-join on a short hash prefix, full digests confirm the pairs, and the
-longest rule wins. Path prefixes are taken only at the lengths that rule paths have, so a URL makes
-(labels of its host) x (distinct path lengths) expressions however long it is.
+longest rule wins. Host suffixes are taken only with the numbers of labels that rule hosts have,
+path prefixes only at the lengths that rule paths have, so a URL makes at most (distinct numbers of
+labels) x (distinct path lengths) expressions however long it is.
 
 Defined results: NULL URLs and those without :// have an empty host and path, fit no rule and get
 the default verdict; repeated rows are judged one by one; an empty table gives an empty result;
-extra columns of the input are ignored. Ties of length go to the longer host, then to "allow".
+extra columns of the input are ignored, whatever their names. Ties of length go to the longer host, then to "allow".
 """
 
 from __future__ import annotations
@@ -51,23 +52,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     host, path = split_url(F.col(url))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
     rules = rules.dropDuplicates(["rule_host", "rule_path", "action"])
-    n_rules, lengths = rules.agg(F.count("*"), F.collect_set(F.length("rule_path"))).first()
+    labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    n_rules, lengths, depths = rules.agg(F.count("*"), F.collect_set(F.length("rule_path")), F.collect_set(labels(F.col("rule_host")))).first()
     lengths = F.array(*(F.lit(x) for x in sorted(lengths))).cast("array<int>")
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # substring_index takes its count as a literal: one suffix for each number of labels
+    suffixes = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.col("_labels") >= k, F.substring_index("host", ".", -k)) for k in sorted(depths))))
     expressions = (
-        rows.withColumn("_host", F.explode(F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(suffixes)))
+        rows.withColumn("_labels", labels(F.col("host")))
+        .withColumn("_host", F.explode_outer(suffixes))
         .withColumn("_len", F.explode_outer(F.filter(lengths, lambda n: n <= F.length("path"))))
         .withColumn("_full", _digest(F.col("_host"), F.substring("path", F.lit(1), F.col("_len"))))
-        .withColumn("_short", F.substring("_full", 1, PREFIX))
+        .withColumn("_short", F.when(F.col("_host").isNotNull() & F.col("_len").isNotNull(), F.substring("_full", 1, PREFIX)))
     )
     full = _digest(F.col("rule_host"), F.col("rule_path"))
     wins = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), (F.col("action") == "allow").alias("a"))
     known = rules.select(full.alias("_rule_full"), F.substring(full, 1, PREFIX).alias("_rule_short"), wins.alias("_wins"), F.concat("rule_host", "rule_path").alias("_name"), "action")
     if n_rules <= BROADCAST_RULES:
         known = F.broadcast(known)
-    found = expressions.join(known, (F.col("_short") == F.col("_rule_short")) & (F.col("_full") == F.col("_rule_full")), "left")
-    best = found.groupBy("_row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("_name").isNotNull(), F.struct("_wins", "_name", "action"))).alias("_best"))
+    found = expressions.join(known, F.col("_short") == F.col("_rule_short"), "left")
+    fits = F.col("_full") == F.col("_rule_full")
+    best = found.groupBy("_row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(fits, F.struct("_wins", "_name", "action"))).alias("_best"))
     return best.select("page_id", "host", "path", F.col("_best._name").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
 
 
