@@ -6,7 +6,7 @@ wavelet tree and every SAMPLE-th suffix position. Each distinct test phrase (a w
 WINDOW item words) is searched backwards through the tree's ranks; its occurrences are located by
 walking to sampled positions, and their spans are merged per document.
 
-Test phrases reach the executors in blocks of items with at most ITEM_WORDS words, one pass over
+Test phrases reach the executors in blocks of items with about ITEM_WORDS words at most, one pass over
 the documents for each block, so what is broadcast has a bound whatever the benchmark's size.
 
 Defined results: NULL and empty texts have no words and no hits; an item without words is no
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, store
-from touchline.llm.kernels import HashIndex, Words, arrow_rows, arrow_schema, doc_blocks, sums_by_doc, table
+from touchline.llm.common import documents, fresh, store
+from touchline.llm.kernels import HashIndex, Words, arrow_rows, arrow_schema, doc_blocks, mix64, sums_by_doc, table
 
 WINDOW = 10
-#: Words of items in one block of the benchmark.
-ITEM_WORDS = 2_000_000
+#: Words of items in one block of the benchmark: about 150 MB in the driver, half of that on its way to a worker.
+ITEM_WORDS = 1_000_000
 #: Every SAMPLE-th position of the sequence is kept for locating.
 SAMPLE = 16
 
@@ -144,18 +144,28 @@ class PhraseSet:
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
         words = Words(data, offsets, low, word)
         self.vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
-        symbols = symbols + 1
-        found: dict[tuple, set] = {}
-        for i, (item, _) in enumerate(items):
-            seq = symbols[words.first[i] : words.first[i + 1]].tolist()
-            for k in range(max(1, len(seq) - window + 1) if seq else 0):
-                found.setdefault(tuple(seq[k : k + window]), set()).add(i)
+        symbols = (symbols + 1).astype(np.int32)
+        n = np.diff(words.first)
+        many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), many)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + words.first[item]
+        length = np.minimum(n, window)[item].astype(np.int32)
+        # equal windows have equal hashes; the windows themselves are laid out once each
+        made = length.astype(np.uint64)
+        for k in range(window):
+            inside = np.flatnonzero(length > k)
+            made[inside] = mix64(made[inside] + self.vocabulary[symbols[start[inside] + k] - 1])
+        _, once, phrase = np.unique(made, return_index=True, return_inverse=True)
+        self.lengths = length[once].astype(np.int64)
+        self.phrases = np.zeros((len(once), window), np.int32)
+        for k in range(window):
+            inside = np.flatnonzero(self.lengths > k)
+            self.phrases[inside, k] = symbols[start[once[inside]] + k]
         self.items = [item for item, _ in items]
-        self.owners = [sorted(v) for v in found.values()]
-        self.lengths = np.array([len(k) for k in found], dtype=np.int64)
-        self.phrases = np.zeros((len(found), window), np.int64)
-        for r, k in enumerate(found):
-            self.phrases[r, : len(k)] = k
+        pairs = np.unique((phrase.astype(np.int64) << 32) | item)
+        #: Items of phrase p: owners[owner_first[p]:owner_first[p + 1]].
+        self.owners = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.owner_first = np.searchsorted(pairs >> 32, np.arange(len(once) + 1))
         self.shortest = int(self.lengths.min(initial=window))
 
 
@@ -168,7 +178,7 @@ def find_spans(symbols: np.ndarray, first: np.ndarray, phrases: PhraseSet) -> tu
     """
     none = np.zeros(0, np.int64)
     sigma = len(phrases.vocabulary) + 1
-    if not len(symbols) or not len(phrases.owners):
+    if not len(symbols) or not len(phrases.lengths):
         return none, none, none
     known = symbols > 0
     begins = known.copy()
@@ -217,7 +227,7 @@ def _scan(rows: DataFrame, phrases: PhraseSet, last: bool) -> DataFrame:
             to = at + known.lengths[phrase]
             items: list[set] = [set() for _ in range(n)]
             for p, d in set(zip(phrase.tolist(), doc.tolist(), strict=True)):
-                items[d].update(known.items[i] for i in known.owners[p])
+                items[d].update(known.items[i] for i in known.owners[known.owner_first[p] : known.owner_first[p + 1]].tolist())
             named = [sorted(i) for i in items]
             if "items" in part.schema.names:
                 had = {c: part.column(c).to_pylist() for c in ("items", "span_from", "span_to")}
@@ -268,10 +278,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that share no window with the benchmark."""
-    key = F.xxhash64("doc_id", text)
+    key, (mark,) = F.xxhash64("doc_id", text), fresh(docs, "_hit")
     found = find_contamination(docs.select(key.alias("doc_id"), F.col(text).alias("text")), benchmark)
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(hit, key == F.col(mark), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

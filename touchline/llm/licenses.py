@@ -1,48 +1,39 @@
 """License scans: MinHash bands over text windows retrieve templates, exact containment verifies.
 
 Texts and templates are words of [a-z0-9] and non-ASCII characters, in shingles of five. A window
-of WINDOW words starts at every STEP-th word. Every window has BANDS min-hashes, one to a band; a
-window holding the whole of a one-shingle template agrees with it in a band with chance 1 / 8, so
-in one of 64 with chance 1 - (7 / 8) ** 64 > 0.9998, and longer templates, cut into windows
-themselves, do better. Of the region around a window that meets a template in a band, the
-share of the template's shingles that it holds decides: CONTAINMENT or more is a match.
+of WINDOW words starts at every STEP-th word of a text and at every word of a template, so a copied
+stretch of WINDOW + STEP words holds a window of both. Every window has BANDS min-hashes, one to a
+band; a window holding the whole of a one-shingle template agrees with it in a band with chance
+1 / 8, so in one of 64 with chance 1 - (7 / 8) ** 64 > 0.9998, and longer templates do better. The
+share of the template's shingles that the whole text holds then decides: CONTAINMENT or more is a match.
 
 Only texts with an anchor are cut into windows. A template's anchors are words that more than a
 fifth of its shingles hold, so a text without any cannot hold four fifths of the shingles.
 
-Only DataFrame expressions touch the documents; the templates, a list in this module or the
-caller's, are broadcast, at most BROADCAST_TEMPLATES of them.
+Only DataFrame expressions touch the documents and templates. A band's key leads to a template's
+number; its shingles are joined once text and template are known to meet.
 
 Defined results: NULL, empty and blank texts have no license; a template under five words is one
-shingle of all its words and is found only in texts of the same words; repeated rows are judged
-one by one; an empty table gives an empty result; extra columns are ignored.
+shingle of all its words and is found only in texts of the same words, one without words is
+none; repeated rows are judged one by one; repeated templates count once; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, lower_ascii
+from touchline.llm.common import documents, lower_ascii, store
+from touchline.llm.license_texts import TEMPLATES
 
 SHINGLE, WINDOW, STEP, BANDS, CONTAINMENT = 5, 12, 4, 64, 0.8
-BROADCAST_TEMPLATES = 1000
-
-#: (license, text); public notices, stated as they are used
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-]
-
-
 def plain_words(text: Column) -> Column:
     flat = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
@@ -67,45 +58,52 @@ def _windows(hashes: Column, step: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(hashes, s + 1, per).alias("part")))
 
 
-def anchors(templates: list[tuple[str, str]]) -> list[str]:
-    """Words such that of every template more than a fifth of the shingles hold one: the longest first."""
+def anchors(texts: Iterable[str]) -> list[str]:
+    """Words such that of every template more than a fifth of the shingles hold one: long ones that many templates share first."""
+    words = [re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).split() for text in texts]
+    shared = Counter(w for many in words for w in set(many))
     chosen: set[str] = set()
-    for _, text in templates:
-        words = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).split()
-        runs = [words[k : k + SHINGLE] for k in range(max(1, len(words) - SHINGLE + 1))]
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+    for many in words:
+        runs = [many[k : k + SHINGLE] for k in range(max(1, len(many) - SHINGLE + 1))]
+        for word in sorted(set(many), key=lambda w: (-min(len(w), 7), -shared[w], -len(w), w)):
             if 5 * sum(any(w in chosen for w in run) for run in runs) > len(runs):
                 break
             chosen.add(word)
     return sorted(chosen)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text") -> DataFrame:
-    """doc_id, licenses (names, sorted), containment (largest, 0 if none) of every row of docs."""
-    templates = TEMPLATES if templates is None else templates
-    if len(templates) > BROADCAST_TEMPLATES:
-        raise ValueError(f"at most {BROADCAST_TEMPLATES} templates")
+def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(templates, "license string, text string")
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """doc_id, licenses (names, sorted), containment (largest, 0 if none) of every row of docs.
+
+    templates: license, text. They are the operator's configuration: their texts pass through the
+    driver for the anchors; their keys and shingles are tables whose joins Spark plans by size.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(templates)], "template int, license string, text string")
-    known = known.withColumn("all", _shingles(plain_words(F.col("text")))).drop("text")
-    keys = known.withColumn("w", F.explode(_windows(F.col("all"), 1))).select("template", "license", "all", F.explode(_bands(F.col("w.part"))).alias("key"))
-    keys = F.broadcast(keys.dropDuplicates(["template", "key"]))
-    longest = max((len(t.split()) for _, t in templates), default=0) * 2
-
-    rows = docs.select("doc_id", F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    hope = lower_ascii(F.col("_text")).rlike("|".join(map(re.escape, anchors(templates))) or r"\A\z")
-    near = rows.select("_row", F.when(hope, F.col("_text")).alias("_text"), "doc_id").withColumn("_words", plain_words(F.col("_text"))).withColumn("_all", _shingles(F.col("_words")))
-    region = F.transform(
-        _windows(F.col("_all"), STEP),
-        lambda w: F.struct(w["part"].alias("part"), F.slice(F.col("_all"), F.greatest(w["at"] - longest, F.lit(0)) + 1, 2 * longest + WINDOW).alias("region")),
-    )
-    cut = near.withColumn("_w", F.explode_outer(F.when(F.size("_all") > 0, region)))
-    cut = cut.select("_row", "doc_id", F.col("_w.region").alias("_region"), F.explode_outer(_bands(F.col("_w.part"))).alias("key"))
-    share = F.size(F.array_intersect("_region", "all")) / F.size(F.array_distinct("all"))
-    met = cut.join(keys, "key", "left").withColumn("_share", share)
-    ok = F.col("_share") >= CONTAINMENT
-    out = met.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.when(ok, F.col("license")))).alias("licenses"), F.coalesce(F.max(F.when(ok, F.col("_share"))), F.lit(0.0)).alias("containment"))
-    return out.drop("_row")
+    templates = template_table(spark, TEMPLATES) if templates is None else templates.select("license", "text").distinct()
+    # written, so that the windows below read an array and don't make it anew
+    known = templates.select("license", F.xxhash64("license", "text").alias("template"), plain_words(F.col("text")).alias("words"))
+    known = store(known.withColumn("runs", _shingles(F.col("words"))).drop("words").withColumn("all", F.array_distinct("runs")), "templates").filter(F.size("runs") > 0)
+    windows = F.transform(_windows(F.col("runs"), 1), lambda w: _bands(w["part"]))
+    keys = known.select("template", F.explode(F.array_distinct(F.flatten(windows))).alias("key"))
+
+    small = F.lower(F.col(text))  # all that lower_ascii changes and more: no anchor is missed
+    hope = reduce(or_, (F.contains(small, F.lit(a)) for a in anchors(r["text"] or "" for r in templates.toLocalIterator())), F.lit(False))
+    # what goes on is the ids, and the texts with an anchor
+    rows = docs.select("doc_id", F.when(hope, F.col(text)).alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = store(rows, "hopeful")
+    near = rows.filter("text is not null").select("_row", plain_words(F.col("text")).alias("_words"))
+    near = store(near.select("_row", _shingles(F.col("_words")).alias("_all")), "shingles").filter(F.size("_all") > 0)
+    mine = F.array_distinct(F.flatten(F.transform(_windows(F.col("_all"), STEP), lambda w: _bands(w["part"]))))
+    met = near.select("_row", F.explode(mine).alias("key")).join(keys, "key").select("_row", "template").distinct()
+    share = F.size(F.array_intersect("_all", "all")) / F.size("all")
+    judged = met.join(known.select("template", "license", "all"), "template").join(near, "_row").select("_row", "license", share.alias("share"))
+    found = judged.filter(F.col("share") >= CONTAINMENT).groupBy("_row").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.max("share").alias("containment"))
+    out = rows.select("_row", "doc_id").join(found, "_row", "left")
+    return out.select("doc_id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +120,15 @@ def _oracle() -> str:
     return f"""
 WITH shingles(template, license, words) AS (SELECT DISTINCT * FROM (VALUES {", ".join(cells)})),
 docs AS (
-  SELECT doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) || ' ' AS words
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w
   FROM documents),
+have AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE}, 0) + 2), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS words
+  FROM docs WHERE len(w) > 0),
+sizes AS (SELECT template, count(*) AS n FROM shingles GROUP BY 1),
 shares AS (
-  SELECT doc_id, template, license, avg(CASE WHEN contains(docs.words, ' ' || shingles.words || ' ') THEN 1.0 ELSE 0.0 END) AS share
-  FROM docs, shingles GROUP BY 1, 2, 3),
+  SELECT doc_id, template, license, count(*) / any_value(n) AS share
+  FROM have JOIN shingles USING (words) JOIN sizes USING (template) GROUP BY 1, 2, 3),
 found AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n, max(share) AS share
   FROM shares WHERE share >= {CONTAINMENT} GROUP BY 1)
@@ -135,5 +137,4 @@ FROM docs LEFT JOIN found USING (doc_id)
 """
 
 
-#: A text's shingles are looked for anywhere in it; the operator asks for them in one region.
 ORACLE = _oracle()

@@ -4,6 +4,9 @@ Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation estimates
 labels, how often each rule is right; the posterior of "good" given all votes replaces
 a filter that asks for every rule to pass.
 
+START, PULL, NOISE, LEAST_GOOD and MOST_GOOD are its parameters: they suit corpora of mostly sound
+text and name the latent classes. A corpus of mostly junk needs others.
+
 Only DataFrame expressions touch the documents. What reaches the driver is the table of
 vote patterns, at most 3 ** len(RULES) rows of counts whatever the corpus.
 
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blank_to_space, documents, store, words_of
+from touchline.llm.common import blank_to_space, documents, fresh, store, words_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,37 +37,39 @@ def _count_of(text: Column, chars: str) -> Column:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of FEATURES (long) for every whole text."""
     t, size = F.coalesce(F.col(text), F.lit("")), F.size
-    df = docs.drop(*FEATURES, "_t", "_words", "_lines", "_h", "_w", "_s", "_p").withColumn("_t", t).withColumn("_words", words_of(F.col("_t")))
+    scratch = fresh(docs, "_t", "_words", "_lines", "_h", "_w", "_s", "_p")
+    t_, words, lines, h_, w_, s_, p_ = scratch
+    df = docs.drop(*FEATURES).withColumn(t_, t).withColumn(words, words_of(F.col(t_)))
     df = df.withColumns(
         {
-            "_lines": F.filter(F.split("_t", "\n", -1), lambda x: F.trim(blank_to_space(x)) != ""),
-            "_h": F.transform("_words", lambda w: F.xxhash64(w)),
+            lines: F.filter(F.split(t_, "\n", -1), lambda x: F.trim(blank_to_space(x)) != ""),
+            h_: F.transform(words, lambda w: F.xxhash64(w)),
         }
     )
-    hashes = F.col("_h")
+    hashes = F.col(h_)
     window = F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, 5))))
-    df = df.withColumn("_w", F.when(size("_h") >= 5, F.slice(window, F.lit(1), size("_h") - 4)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(w_, F.when(size(h_) >= 5, F.slice(window, F.lit(1), size(h_) - 4)).otherwise(F.array().cast("array<bigint>")))
     # positions of the windows that occur again: neighbours in hash order; most texts have none and skip the sort
-    pairs = F.when(size(F.array_distinct("_w")) < size("_w"), F.array_sort(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
-    df = df.withColumn("_s", pairs)
-    runs = F.col("_s")
+    pairs = F.when(size(F.array_distinct(w_)) < size(w_), F.array_sort(F.transform(w_, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    df = df.withColumn(s_, pairs)
+    runs = F.col(s_)
     again = F.transform(runs, lambda s, k: F.when((F.get(runs, k - 1)["w"] == s["w"]) | (F.get(runs, k + 1)["w"] == s["w"]), s["i"]))
-    df = df.withColumn("_p", F.sort_array(F.array_compact(again)))
-    at = F.col("_p")
+    df = df.withColumn(p_, F.sort_array(F.array_compact(again)))
+    at = F.col(p_)
     covered = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     made = {
-        "n_words": size("_words"),
-        "word_chars": F.length(F.replace(blank_to_space(F.col("_t")), F.lit(" "), F.lit(""))),
-        "n_symbols": _count_of(F.col("_t"), SYMBOLS),
-        "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
+        "n_words": size(words),
+        "word_chars": F.length(F.replace(blank_to_space(F.col(t_)), F.lit(" "), F.lit(""))),
+        "n_symbols": _count_of(F.col(t_), SYMBOLS),
+        "n_dup_lines": size(lines) - size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_lines": size("_lines"),
-        "n_upper": _count_of(F.col("_t"), UPPER),
-        "n_shouts": _count_of(F.col("_t"), "!?"),
-        "n_stops": _count_of(F.col("_t"), ".,;:"),
-        "n_distinct": size(F.array_distinct("_h")),
+        "n_lines": size(lines),
+        "n_upper": _count_of(F.col(t_), UPPER),
+        "n_shouts": _count_of(F.col(t_), "!?"),
+        "n_stops": _count_of(F.col(t_), ".,;:"),
+        "n_distinct": size(F.array_distinct(h_)),
     }
-    return df.withColumns({k: c.cast("long") for k, c in made.items()}).drop("_t", "_words", "_lines", "_h", "_w", "_s", "_p")
+    return df.withColumns({k: c.cast("long") for k, c in made.items()}).drop(*scratch)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -93,6 +98,8 @@ RULES = {
 START = {True: (0.01, 0.49, 0.5), False: (0.25, 0.35, 0.4)}
 #: Share of the documents that START counts for, and the most bad votes that a sound rule gives to good documents.
 PULL, NOISE = 0.02, 0.02
+#: The share of good documents that EM may find: outside it the two classes are no longer those of START.
+LEAST_GOOD, MOST_GOOD = 0.6, 0.98
 
 
 def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, prior: float = 0.85) -> tuple[float, list[dict[bool, tuple[float, float, float]]]]:
@@ -113,7 +120,7 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, pri
             for rule, v in zip(seen, votes, strict=True):
                 rule[True][v + 1] += p * count
                 rule[False][v + 1] += (1 - p) * count
-        prior = min(0.98, max(0.6, good / total)) if total else prior
+        prior = min(MOST_GOOD, max(LEAST_GOOD, good / total)) if total else prior
         for rule in seen:
             rule[True][0] = min(rule[True][0], NOISE * sum(rule[True]))
         table = [{c: tuple(x / sum(rule[c]) for x in rule[c]) for c in rule} for rule in seen]
