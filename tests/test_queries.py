@@ -44,7 +44,8 @@ def test_matches_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
 def test_runs_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    found = catalogue.QUERIES[name](spark, SF)
+    assert found.columns and found.count() > 0
 
 
 def test_stream_equals_batch(spark):

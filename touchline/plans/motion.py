@@ -132,15 +132,15 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
 def slot_frames(spark: SparkSession, d: str) -> DataFrame:
     rows = _roles(_components(spark, d))
     dense = trajectories.fill_gaps(fragment_rows(spark, d).filter("pitch_x is not null"))
-    return _xy(fragments.slot_frames(dense, fragments.slots(rows), rows, 170))
+    return _xy(fragments.slot_frames(dense, fragments.slots(rows), rows))
 
 
 MEANS, VARIANCES, WEIGHTS = [[0.05] * 6, [-0.05] * 6], [[0.02] * 6, [0.03] * 6], [0.6, 0.4]
 
 
 def _colours(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("_v"), F.slice("embedding", 1, 6).alias("colour"))
-    return observations(spark, d).withColumn("_v", F.col("event_id") % 500).join(vectors, "_v").drop("_v")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), F.slice("embedding", 1, 6).alias("colour"))
+    return observations(spark, d).withColumn("_v", F.col("event_id") % F.lit(vectors.count())).join(vectors, "_v").drop("_v")
 
 
 def colour_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -283,10 +283,12 @@ def streaming_tracker(spark: SparkSession, d: str) -> DataFrame:
 
     base = f"{_scratch(spark)}/touchline/stream-{uuid.uuid4().hex}"
     dets = _detections(spark, d).select("video_id", "frame_idx", "det_id", "x1", "y1", "x2", "y2")
-    for k in range(4):
-        dets.filter(F.floor(F.col("frame_idx") / 45) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run_stream(stream, f"{base}/out", f"{base}/state")
+    blocks = dets.withColumn("block", F.floor(F.col("frame_idx") / 45))
+    # a folder for a block of frames: the stream takes them one after the other, however long the matches are
+    for (block,) in blocks.select("block").distinct().orderBy("block").collect():
+        dets.filter(F.floor(F.col("frame_idx") / 45) == block).repartition("video_id").write.parquet(f"{base}/in/{block}")
+        stream = spark.readStream.schema(dets.schema).parquet(f"{base}/in/*")
+        run_stream(stream, f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
 
 
@@ -421,9 +423,9 @@ ORACLES = {
     "slot_frames": f"""{CTE}, {_TRACKS}, {_SLOTS}, pts as (select video_id, track_id, frame_idx, pitch_x as x, pitch_y as y from frag where pitch_x is not null), {_fill('pts', 'dense')},
         r as (select d.*, slot_key, o from dense d join slt using (video_id, track_id) join ord using (video_id, track_id)),
         e as (select video_id, slot_key, o, max(frame_idx) as f, arg_max(x, frame_idx) as x, arg_max(y, frame_idx) as y from r group by 1, 2, 3),
-        b as (select video_id, slot_key, o, frame_idx, x, y from r union all select video_id, slot_key, o, unnest(range(f + 1, 170)), x, y from e)
+        b as (select video_id, slot_key, o, frame_idx, x, y from r union all select video_id, slot_key, o, unnest(range(f + 1, total)), x, y from e join (select video_id as lv, max(frame_idx) + 1 as total from frag group by 1) on lv = video_id)
         select video_id, slot_key, frame_idx, round(arg_max(x, o) + 1.37e-9, 6) + 0.0 as x, round(arg_max(y, o) + 1.37e-9, 6) + 0.0 as y from b group by 1, 2, 3""",
-    "colour_vote": f"""{CTE}, d as (select video_id, track_id, 1 / (1 + exp(({_log_density(1)}) - ({_log_density(0)}))) as p from obs join embeddings on vec_id = event_id % 500),
+    "colour_vote": f"""{CTE}, d as (select video_id, track_id, 1 / (1 + exp(({_log_density(1)}) - ({_log_density(0)}))) as p from obs join embeddings on vec_id = event_id % (select count(*) from embeddings)),
         v as (select *, case when p >= 0.5 then 0 else 1 end as t, greatest(p, 1 - p) as c from d),
         s as (select video_id, track_id, sum(case when t = 0 then c else 0 end) as a, sum(case when t = 1 then c else 0 end) as b, avg(-ln(c + 1e-10)) as o, count(*) as votes from v group by 1, 2)
         select video_id, track_id, case when b > a then 1 else 0 end as team, round(greatest(a, b) / (a + b), 5) as confidence, round(o, 5) as outlier_score, votes from s""",

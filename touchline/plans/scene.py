@@ -67,7 +67,7 @@ def pitch_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_projection(spark: SparkSession, d: str) -> DataFrame:
-    cameras = tracking._cameras(spark, d).withColumn("p23", F.col("p23") + 50.5).filter("p_partkey % 10 = 0")
+    cameras = tracking._cameras(spark, d).withColumn("p23", F.col("p23") + 50.5)
     return calibration.line_segments(cameras)
 
 
@@ -77,14 +77,15 @@ def point_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def background_channel(spark: SparkSession, d: str) -> DataFrame:
-    points = _keypoints(spark, d).filter("frame_id % 50 = 1").select((F.col("frame_id") % 7).alias("frame_id"), "class_idx", F.col("kx").alias("x"), F.col("ky").alias("y"))
+    points = _keypoints(spark, d).select((F.col("frame_id") % 7).alias("frame_id"), "class_idx", F.col("kx").alias("x"), F.col("ky").alias("y"))
     return calibration.background(calibration.point_heat(points, 48, 27)).select("frame_id", "px", "py", r6(F.col("background")).alias("background"))
 
 
 def slot_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Slots on every frame of their match from 0 to 169: NULL before they are first seen."""
+    """Slots on every frame of their match from 0 to its last: NULL before they are first seen."""
     seen = motion.slot_frames(spark, d)
-    grid = seen.select("video_id", "slot_key").distinct().withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(169).cast("bigint"))))
+    last = seen.groupBy("video_id").agg(F.max("frame_idx").alias("_last"))  # all slots are held to the end of the match
+    grid = seen.select("video_id", "slot_key").distinct().join(last, "video_id").select("video_id", "slot_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("frame_idx"))
     return grid.join(seen, ["video_id", "slot_key", "frame_idx"], "left")
 
 
@@ -102,7 +103,7 @@ def yolo_to_coco(spark: SparkSession, d: str) -> DataFrame:
 def colour_features(spark: SparkSession, d: str) -> DataFrame:
     """Jersey colours of crops painted from the embeddings."""
     shade = F.transform(F.sequence(F.lit(0), F.lit(30 * 12 * 3 - 1)), lambda k: F.char((F.pmod(F.floor(F.col("embedding")[(k % 64).cast("int")] * 1000) + k, F.lit(128))).cast("int")))
-    crops = table(spark, d, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("crop_id"), F.lit(30).alias("height"), F.lit(12).alias("width"), F.array_join(shade, "").cast("binary").alias("pixels"))
+    crops = table(spark, d, "embeddings").select(F.col("vec_id").alias("crop_id"), F.lit(30).alias("height"), F.lit(12).alias("width"), F.array_join(shade, "").cast("binary").alias("pixels"))
     return colours.features(crops, colours.jersey)
 
 
@@ -111,7 +112,7 @@ def match_analysis(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d)
     rows = motion._roles(motion._components(spark, d))
     smooth = trajectories.smooth_tracks(motion.fragment_rows(spark, d))
-    frames = fragments.slot_frames(smooth, fragments.slots(rows), rows, 170)
+    frames = fragments.slot_frames(smooth, fragments.slots(rows), rows)
     known = frames.withColumn("track_id", F.abs(F.xxhash64("slot_key")))
     moving = trajectories.velocities(known)
     out = known.select("video_id", "slot_key", "track_id").distinct().join(moving, ["video_id", "track_id"]).drop("track_id")
@@ -148,11 +149,11 @@ ORACLES = {
     "correspondences": f"with {_TEMPLATE}, {_KP} select frame_id, class_idx, pt_idx, round(kx * 1920, 6) + 0.0 as u, round(ky * 1080, 6) + 0.0 as v, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y from kp join tpl using (class_idx, pt_idx) where visibility >= 0.5 and frame_id % 10 >= 5 and kx * 1920 between 0 and 1920 and ky * 1080 between 0 and 1080",
     "pitch_overlay": f"""{CTE}, {_TEMPLATE}, p as (select video_id, frame_idx, class_idx, cast(trunc(15 * x + h02) as int) as u, cast(trunc(540 - 10 * y) as int) as v from hom, tpl)
         select video_id, frame_idx, class_idx, count(*) as n, cast(sum(u + 3 * v) as bigint) as checksum from p where u > -500 and u < 1780 and v > -500 and v < 1220 group by 1, 2, 3 having count(*) >= 2""",
-    "line_projection": f"""with {tracking._CAM_SQL}, c as (select p_partkey, f, {tracking._CAMERA['p03']} as p03, {tracking._CAMERA['p13']} as p13, -pz + 50.5 as p23 from cam where p_partkey % 10 = 0), {_LINES}
+    "line_projection": f"""with {tracking._CAM_SQL}, c as (select p_partkey, f, {tracking._CAMERA['p03']} as p03, {tracking._CAMERA['p13']} as p13, -pz + 50.5 as p23 from cam), {_LINES}
         select p_partkey, line_idx, {_pixel('a', 0)}, {_pixel('a', 1)}, {_pixel('b', 0)}, {_pixel('b', 1)} from c, ln""",
     "point_heatmap": f"with {_KP}, pt as (select frame_id, class_idx, kx as x, ky as y from kp where frame_id % 50 = 1), {_PATCH} select frame_id, class_idx, px, py, round(heat, 6) + 0.0 as heat from heat",
-    "background_channel": f"with {_KP}, pt as (select frame_id % 7 as frame_id, class_idx, kx as x, ky as y from kp where frame_id % 50 = 1), {_PATCH} select frame_id, px, py, round(1 - max(heat), 6) + 0.0 as background from heat group by 1, 2, 3",
-    "slot_positions": f"""with sf as ({motion.ORACLES['slot_frames']}), g as (select distinct video_id, slot_key from sf), t as (select *, unnest(range(0, 170)) as frame_idx from g)
+    "background_channel": f"with {_KP}, pt as (select frame_id % 7 as frame_id, class_idx, kx as x, ky as y from kp), {_PATCH} select frame_id, px, py, round(1 - max(heat), 6) + 0.0 as background from heat group by 1, 2, 3",
+    "slot_positions": f"""with sf as ({motion.ORACLES['slot_frames']}), g as (select distinct video_id, slot_key from sf), t as (select g.*, unnest(range(0, total)) as frame_idx from g join (select video_id as lv, max(frame_idx) + 1 as total from sf group by 1) on lv = g.video_id)
         select t.video_id, t.slot_key, t.frame_idx, x, y from t left join sf on sf.video_id = t.video_id and sf.slot_key = t.slot_key and sf.frame_idx = t.frame_idx""",
     "yolo_to_coco": f"""{CTE}, l as (select video_id % 2 as split, video_id * 1000 + frame_idx as image, event_id % 4 as category_id, floor(x1) as cx, floor(y1) as cy from obs)
         select split, dense_rank() over (partition by split order by image) as image_id, row_number() over (partition by split order by image, category_id, cx, cy) as annotation_id, category_id, cx - 1 as "left", cy - 2 as top, 2.0e0 as w, 4.0e0 as h from l""",
