@@ -6,7 +6,11 @@ constant number of cells, and partial sums leave a row per frame, team and cell
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.pitch import HALF_LENGTH, HALF_WIDTH
@@ -28,6 +32,44 @@ def influence(players: DataFrame, cell: float = 5.0) -> DataFrame:
     return rows.groupBy("video_id", "frame_idx", "team", "gx", "gy").agg(F.sum(level).alias("influence"))
 
 
+def frame_dominance(players: DataFrame, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
+    """video_id, frame_idx, share_0, share_1, cells_0: the mean shares of the teams and the cells that team 0 leads, over the drawn grid.
+
+    players as for influence. The grid has a cell for every scale-th pixel of the drawn pitch, margins
+    included. A row gathers the players of one frame, a roster; the map of a frame, columns * rows cells
+    for each player, never leaves its task.
+    """
+    place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
+    frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
+    across = (np.arange(columns) * scale - margin) / pixels - HALF_LENGTH
+    down = HALF_WIDTH - (np.arange(rows) * scale - margin) / pixels
+
+    def level(team: np.ndarray) -> np.ndarray:
+        total = np.zeros((rows, columns))
+        for x, y, vx, vy in team:
+            speed, turn = min(np.hypot(vx, vy), 8.0), np.arctan2(vy, vx)
+            dx, dy = across[None, :] - (x + 0.5 * vx), down[:, None] - (y + 0.5 * vy)
+            ahead, aside = dx * np.cos(turn) + dy * np.sin(turn), dy * np.cos(turn) - dx * np.sin(turn)
+            total += np.exp(-0.5 * ((ahead / (4 + 0.5 * speed)) ** 2 + (aside * (1 + 0.1 * speed) / 4) ** 2))
+        return total
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = []
+            for roster in batch.column("p"):
+                flat = roster.values
+                cells = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "vx", "vy")], axis=1)
+                team = flat.field("team").to_numpy(zero_copy_only=False)
+                a, b = level(cells[team == 0]), level(cells[team == 1])
+                total = a + b + 1e-6
+                shares.append((float((a / total).mean()), float((b / total).mean()), int((a > b).sum())))
+            made = [pa.array(list(c), t) for c, t in zip(zip(*shares, strict=True), (pa.float64(), pa.float64(), pa.int64()), strict=True)] if shares else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), *made], names=["video_id", "frame_idx", "share_0", "share_1", "cells_0"])
+
+    keys = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("video_id", "frame_idx"))
+    return frames.mapInArrow(kernel, f"{keys}, share_0 double, share_1 double, cells_0 bigint")
+
+
 def dominance(levels: DataFrame) -> DataFrame:
     """Share of each team in every cell, and the mean shares of a frame come from these."""
     by = lambda t: F.sum(F.when(F.col("team") == t, F.col("influence")).otherwise(0.0))
@@ -51,6 +93,33 @@ def line_heat(segments: DataFrame, sigma: float = 3.0, radius: int = 6) -> DataF
     return rows.groupBy("frame_id", "class_idx", (F.col("_x") + F.col("_dx")).alias("px"), (F.col("_y") + F.col("_dy")).alias("py")).agg(F.max(heat).alias("heat"))
 
 
+def motion_plan(moving: DataFrame, length: int = 20, arrow: float = 2.0, least: float = 0.1) -> DataFrame:
+    """Drawing primitives of what moves: kind (trail or arrow), px, py, px2, py2, gray.
+
+    moving: video_id, track_id, frame_idx, x, y, vx, vy. A trail links each of a track's last length
+    points to the next one, the later the brighter; an arrow of fixed length points where a player runs
+    who is faster than least along an axis, up to the edge of the picture. What begins far off the pitch
+    is not drawn, nor a trail that ends there.
+    """
+    from touchline.functions.geometry import diagram_pixel
+
+    near = lambda x, y: (F.abs(x) <= HALF_LENGTH + 5) & (F.abs(y) <= HALF_WIDTH + 5)
+    keys = ["video_id", "track_id", "frame_idx"]
+    order = Window.partitionBy("video_id", "track_id").orderBy("frame_idx")
+    recent = F.collect_list(F.struct("x", "y")).over(order.rowsBetween(1 - length, 0))
+    held = moving.select(*keys, recent.alias("_t")).filter(F.size("_t") > 1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_t") - 1)))
+    a, b = F.get("_t", F.col("_k") - 1), F.get("_t", F.col("_k"))
+    line = held.select(*keys, F.lit("trail").alias("kind"), a.alias("_a"), b.alias("_b"), (100 + 155 * (F.col("_k") / F.size("_t"))).cast("int").alias("gray"))
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    tip = F.struct((F.col("x") + arrow * F.col("vx") / speed).alias("x"), (F.col("y") + arrow * F.col("vy") / speed).alias("y"))
+    runs = moving.filter((F.abs("vx") > least) | (F.abs("vy") > least))
+    arrows = runs.select(*keys, F.lit("arrow").alias("kind"), F.struct("x", "y").alias("_a"), tip.alias("_b"), F.lit(None).cast("int").alias("gray"))
+    both = line.unionByName(arrows).filter(near(F.col("_a.x"), F.col("_a.y")) & (near(F.col("_b.x"), F.col("_b.y")) | (F.col("kind") == "arrow")))
+    (px, py), (px2, py2) = diagram_pixel(F.col("_a.x"), F.col("_a.y")), diagram_pixel(F.col("_b.x"), F.col("_b.y"))
+    inside = lambda v, size: F.when(F.col("kind") == "arrow", F.greatest(F.lit(0), F.least(F.lit(size - 1), v))).otherwise(v)
+    return both.select(*keys, "kind", px.alias("px"), py.alias("py"), inside(px2, 1150).alias("px2"), inside(py2, 780).alias("py2"), "gray")
+
+
 def render_plan(frames: DataFrame) -> DataFrame:
     """One drawing primitive per player and frame: kind, pixel, colour, label.
 

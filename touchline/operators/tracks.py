@@ -16,10 +16,10 @@ from touchline.functions.pitch import FPS
 KEY = ["video_id", "track_id"]
 
 
-def position_stats(obs: DataFrame) -> DataFrame:
-    """mean, population deviation, least and most of pitch_x and pitch_y, and n; tracks with none are left out."""
+def position_stats(obs: DataFrame, *more: Column) -> DataFrame:
+    """mean, population deviation, least and most of pitch_x and pitch_y, and n; tracks with none are left out. more: further aggregates."""
     stats = [f(f"pitch_{a}").alias(f"{name}_{a}") for a in "xy" for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    return obs.groupBy(KEY).agg(*stats, F.count("pitch_x").alias("n_samples")).filter("n_samples > 0")
+    return obs.groupBy(KEY).agg(*stats, F.count("pitch_x").alias("n_samples"), *more).filter("n_samples > 0")
 
 
 def durations(obs: DataFrame, fps: float = FPS) -> DataFrame:
@@ -74,6 +74,34 @@ def pick_referee(candidates: DataFrame, least_spread: float = 2.0) -> DataFrame:
     return candidates.filter(fit).groupBy("video_id").agg(best.alias("track_id"), F.max("outlier_score").alias("outlier_score"))
 
 
+def assign_roles(obs: DataFrame, samples: DataFrame, model: dict | None, least: int = 30, least_spread: float = 2.0) -> DataFrame:
+    """video_id, track_id, role, team, player_id of every track with so many observations and a position.
+
+    A track is a goalkeeper, else a linesman, else the referee of its match, else a player. samples:
+    video_id, track_id, colour; model: the colour mixture (mixture.fit on placed players), without
+    which all are players of team 0. A track without samples is of team 0 and no referee. Linesmen and
+    referees have team -1, goalkeepers the team whose players stand away from their goal and player_id 1.
+    """
+    first = F.min("frame_idx").alias("first_frame")
+    order = Window.partitionBy("video_id").orderBy("first_frame", "track_id")
+    placed = roles(position_stats(long_tracks(obs, least), first)).withColumn("track_ordinal", F.row_number().over(order))
+    if model is None:
+        voted = placed.withColumn("team", F.lit(0)).withColumn("outlier_score", F.lit(0.0))
+    else:
+        votes = colour_votes(samples.filter(F.col("colour").isNotNull()), model["means"], model["variances"], model["weights"])
+        voted = placed.join(votes.select(*KEY, "team", "outlier_score"), KEY, "left").fillna({"team": 0, "outlier_score": 0.0})
+    referee = pick_referee(voted.filter("role = 'player'"), least_spread).select("video_id", F.col("track_id").alias("_referee"))
+    named = voted.join(referee, "video_id", "left").withColumn("role", F.when((F.col("role") == "player") & (F.col("track_id") == F.col("_referee")), "referee").otherwise(F.col("role")))
+    sided = goalie_teams(named.withColumn("team", F.when(F.col("role").isin("linesman", "referee"), -1).otherwise(F.col("team"))))
+    return sided.select(*KEY, "role", "team", F.when(F.col("role") == "goalie", 1).alias("player_id"))
+
+
+def placed_players(obs: DataFrame, samples: DataFrame, least: int = 30) -> DataFrame:
+    """The colour samples of tracks that are neither goalkeepers nor linesmen: what the colour mixture is fitted to."""
+    players = roles(position_stats(long_tracks(obs, least))).filter("role = 'player'").select(*KEY)
+    return samples.join(players, KEY, "left_semi")
+
+
 def colour_votes(samples: DataFrame, means: list[list[float]], variances: list[list[float]], weights: list[float]) -> DataFrame:
     """Team of each track by summed posteriors of its colour samples (array colour) under two diagonal Gaussians."""
 

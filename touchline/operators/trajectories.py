@@ -46,15 +46,40 @@ def asof_homography(obs: DataFrame, homographies: DataFrame) -> DataFrame:
     return filled.select(*names, *(F.col(f"_h.{e}").alias(e) for e in entries), (F.col("frame_idx") - F.col("_h.at")).alias("age"))
 
 
-def rolling_calibration(refs: DataFrame, least: int = 50, rows: int = 200) -> DataFrame:
+def rolling_calibration(refs: DataFrame, least: int = 50, rows: int = 200, block: int = BLOCK_FRAMES) -> DataFrame:
     """refs with slope and intercept of pitch_x on u and of pitch_y on v, over the last rows references of the match.
 
-    refs: video_id, seq (order), u, v, pitch_x, pitch_y. NULL before the least-th reference and where u or v do not vary.
+    refs: video_id, seq (order), u, v, pitch_x, pitch_y, none of them NULL. NULL before the least-th
+    reference and where u or v do not vary. Sums over the last rows are differences of running sums,
+    so a reference costs the same however many rows there are. They run in blocks of block references
+    (at least rows), each begun with the rows - 1 references before it: a match is not one task.
     """
-    order = Window.partitionBy("video_id").orderBy("seq")
-    last, n = order.rowsBetween(1 - rows, 0), F.row_number().over(order)
-    fits = {f"{f}_{a}": (F.regr_slope if f == "slope" else F.regr_intercept)(F.col(f"pitch_{a}"), F.col(b)).over(last) for a, b in (("x", "u"), ("y", "v")) for f in ("slope", "intercept")}
-    return refs.withColumns({k: F.when(n >= least, v) for k, v in fits.items()})
+    made = [f"{f}_{a}" for a in "xy" for f in ("slope", "intercept")]
+    block = max(block, rows)
+    home = F.floor((F.col("_n") - 1) / block)
+    numbered = refs.withColumn("_n", F.row_number().over(Window.partitionBy("video_id").orderBy("seq")))
+    needed = (F.col("_n") - 1) % block > block - rows
+    blocked = numbered.withColumn("_b", F.explode(F.when(needed, F.array(home, home + 1)).otherwise(F.array(home))))
+    order = Window.partitionBy("video_id", "_b").orderBy("_n")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    terms = {}
+    for a, b in (("x", "u"), ("y", "v")):
+        p, q = F.col(f"pitch_{a}"), F.col(b)
+        terms |= {f"_{b}": q, f"_{a}": p, f"_{b}{b}": q * q, f"_{b}{a}": q * p}
+        # the last place where b changed, which says whether it varies among the last rows
+        terms[f"_at_{b}"] = F.when(q != F.lag(q).over(order), F.col("_n"))
+    sums = {k: (F.max if k.startswith("_at_") else F.sum)(F.col(f"{k}_t")).over(upto) for k in terms}
+    running = blocked.withColumns({f"{k}_t": v for k, v in terms.items()}).withColumns(sums)
+    ended = {k: F.col(k) - F.coalesce(F.lag(k, rows).over(order), F.lit(0.0)) for k in terms if not k.startswith("_at_")}
+    last = running.withColumns(ended).filter(F.col("_b") == home)
+    n = F.least(F.col("_n"), F.lit(rows))
+    fits = {}
+    for a, b in (("x", "u"), ("y", "v")):
+        varies = F.col(f"_at_{b}") > F.col("_n") - n + 1
+        slope = (n * F.col(f"_{b}{a}") - F.col(f"_{b}") * F.col(f"_{a}")) / (n * F.col(f"_{b}{b}") - F.col(f"_{b}") * F.col(f"_{b}"))
+        fits[f"slope_{a}"] = F.when((F.col("_n") >= least) & varies, slope)
+        fits[f"intercept_{a}"] = (F.col(f"_{a}") - fits[f"slope_{a}"] * F.col(f"_{b}")) / n
+    return last.withColumns(fits).select(*refs.columns, *made)
 
 
 def calibrated_positions(rows: DataFrame, least: int = 50, last: int = 200) -> DataFrame:
@@ -124,8 +149,8 @@ def limit_speed(points: np.ndarray, frames: np.ndarray, most: float) -> np.ndarr
 
 
 def _by_track(df: DataFrame, kernel, columns: str = "x double, y double") -> DataFrame:
-    """Runs kernel(frames, points) on every track of video_id, track_id, frame_idx, x, y."""
-    schema = "video_id bigint, track_id bigint, frame_idx bigint, " + columns
+    """Runs kernel(frames, points) on every track of video_id, track_id (of any type), frame_idx, x, y."""
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in KEY) + ", frame_idx bigint, " + columns
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -133,7 +158,7 @@ def _by_track(df: DataFrame, kernel, columns: str = "x double, y double") -> Dat
         frames = rows["frame_idx"].to_numpy()
         made = kernel(frames, np.stack([rows["x"].to_numpy(), rows["y"].to_numpy()], axis=1))
         n = len(made)
-        fixed = {"video_id": pa.array([key[0].as_py()] * n, pa.int64()), "track_id": pa.array([key[1].as_py()] * n, pa.int64()), "frame_idx": pa.array(frames[:n], pa.int64())}
+        fixed = {c: pa.array([k.as_py()] * n, k.type) for c, k in zip(KEY, key, strict=True)} | {"frame_idx": pa.array(frames[:n], pa.int64())}
         return pa.table(fixed | {c: pa.array(made[:, k], pa.float64()) for k, c in enumerate(names)})
 
     return df.select(*KEY, "frame_idx", "x", "y").groupBy(*KEY).applyInArrow(run, schema)

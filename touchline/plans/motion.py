@@ -154,6 +154,17 @@ def colour_gmm(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("video_id", "track_id", "team", "confidence")
 
 
+def role_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Roles and teams of all tracks by the whole chain: places, colours, referee, sides of the goalkeepers."""
+    return tracks.assign_roles(observations(spark, d), _colours(spark, d), {"means": MEANS, "variances": VARIANCES, "weights": WEIGHTS}, least_spread=0.2)
+
+
+def role_chain_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """The chain with a colour mixture fitted to the placed players."""
+    obs, samples = observations(spark, d), _colours(spark, d)
+    return tracks.assign_roles(obs, samples, mixture.fit(tracks.placed_players(obs, samples), 6), least_spread=0.2)
+
+
 def reid_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
@@ -161,7 +172,7 @@ def reid_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _players(spark: SparkSession, d: str) -> DataFrame:
-    rows = trajectories.velocities(_dense(spark, d)).filter("frame_idx % 40 = 0")
+    rows = trajectories.velocities(_dense(spark, d))
     return rows.withColumn("team", (F.col("track_id") % 2).cast("int"))
 
 
@@ -175,8 +186,20 @@ def dominance_share(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("video_id", "frame_idx").agg(F.round(F.avg("share_0"), 4).alias("share_0"), F.round(F.avg("share_1"), 4).alias("share_1"))
 
 
+def dominance_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Mean shares of both teams on every frame, over the 287 x 195 cells of the drawn grid."""
+    return influence.frame_dominance(_players(spark, d))
+
+
+def motion_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Trails and arrows, counted and summed by track and kind."""
+    rows = influence.motion_plan(trajectories.velocities(_dense(spark, d)))
+    total = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
+    return rows.groupBy("video_id", "track_id", "kind").agg(F.count("*").alias("n"), *(total(c) for c in ("px", "py", "gray")))
+
+
 def line_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_linenumber = 1 and l_orderkey % 100 = 1").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_partkey") % 28).alias("class_idx"), *((F.col(c) % m).cast("double").alias(n) for c, m, n in (("l_partkey", 40, "ax"), ("l_suppkey", 30, "ay"), ("l_orderkey", 40, "bx"), ("l_quantity", 30, "by"))))
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 7).alias("frame_id"), (F.col("l_partkey") % 28).alias("class_idx"), *((F.col(c) % m).cast("double").alias(n) for c, m, n in (("l_partkey", 40, "ax"), ("l_suppkey", 30, "ay"), ("l_orderkey", 40, "bx"), ("l_quantity", 30, "by"))))
     heat = influence.line_heat(rows)
     return heat.select("frame_id", "class_idx", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), r6(F.col("heat")).alias("heat"))
 
@@ -253,7 +276,7 @@ def iou_tracker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ball_tracker(spark: SparkSession, d: str) -> DataFrame:
-    rows = observations(spark, d).filter("track_id % 10 = 3").select("video_id", "frame_idx", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), "score")
+    rows = observations(spark, d).select("video_id", "frame_idx", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), "score")
     return tracking.track_ball(rows)
 
 
@@ -267,9 +290,11 @@ def homography_ransac(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and streams; a local one only where none is set."""
+    """The shared folder for checkpoints and streams; where none is set a local one, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -296,7 +321,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         assignment_join, asof_homography, rolling_calibration, asof_calibration, outlier_flags, gap_fill, gaussian_smooth, velocity_clamp, smooth_full, slot_velocity, trails,
-        heatmap_ema, colour_memo, frame_iou_pairs, fragment_candidates, fragment_parents, fragment_components, slot_assignment, slot_frames, colour_vote, colour_gmm,
+        heatmap_ema, colour_memo, frame_iou_pairs, fragment_candidates, fragment_parents, fragment_components, slot_assignment, slot_frames, colour_vote, colour_gmm, role_chain, role_chain_fitted, dominance_grid, motion_plan,
         reid_similarity_topk, team_influence, dominance_share, line_heatmap, render_plan, line_bbox, line_keypoints, dataset_merge_dedupe, dataset_stats_rollup, class_distribution,
         uncertainty_topk, stratified_select, hash_split, video_id, output_path, iou_tracker, ball_tracker, homography_ransac, streaming_tracker,
     )
@@ -336,13 +361,13 @@ _OUT = """spd as (select *, lag(frame_idx) over w as fa, lag(x) over w as xa, la
 _KEYS = "video_id, track_id, frame_idx"
 _END = f"{_KEYS}, round(x + 1.37e-9, 6) + 0.0 as x, round(y + 1.37e-9, 6) + 0.0 as y"
 
-_VELOCITY = f"""{_POINTS}, {_fill('pts', 'dense')},
-  raw as (select *, row_number() over w as i, coalesce((x - lag(x) over w) * 30, 0) as rx, coalesce((y - lag(y) over w) * 30, 0) as ry from dense window w as (partition by video_id, track_id order by frame_idx)),
+_MOVING = """raw as (select *, row_number() over w as i, coalesce((x - lag(x) over w) * 30, 0) as rx, coalesce((y - lag(y) over w) * 30, 0) as ry from dense window w as (partition by video_id, track_id order by frame_idx)),
   vel as (select video_id, track_id, frame_idx, i, x, y, 0.0e0 as vx, 0.0e0 as vy from raw where i = 1
           union all select video_id, track_id, frame_idx, i, x, y, ex * k, ey * k from (
             select *, case when sqrt(ex * ex + ey * ey) > 10 then 10 / sqrt(ex * ex + ey * ey) else 1.0e0 end as k from (
               select r.video_id, r.track_id, r.frame_idx, r.i, r.x, r.y, 0.7e0 * v.vx + 0.3e0 * r.rx as ex, 0.7e0 * v.vy + 0.3e0 * r.ry as ey
               from vel v join raw r on r.video_id = v.video_id and r.track_id = v.track_id and r.i = v.i + 1)))"""
+_VELOCITY = f"{_POINTS}, {_fill('pts', 'dense')}, {_MOVING}"
 
 _REFS = "refs as (select video_id, event_id as seq, (x1 + x2) / 2 / 1920 + (event_id % 13 - 6) / 1920.0e0 as u, y2 / 1080 + (event_id % 13 - 6) / 1080.0e0 as v, pitch_x, pitch_y from obs)"
 _FITS = """fits as (select *, row_number() over w as n, {0} from refs where pitch_x is not null
@@ -376,15 +401,29 @@ def _log_density(k: int) -> str:
 
 
 _INFLUENCE = f"""{_VELOCITY},
-  pl as (select *, track_id % 2 as team, least(sqrt(vx * vx + vy * vy), 8) as s, atan2(vy, vx) as a, x + 0.5e0 * vx as mx, y + 0.5e0 * vy as my from vel where frame_idx % 40 = 0),
+  pl as (select *, track_id % 2 as team, least(sqrt(vx * vx + vy * vy), 8) as s, atan2(vy, vx) as a, x + 0.5e0 * vx as mx, y + 0.5e0 * vy as my from vel ),
   grid as (select gx, gy, (gx + 0.5e0) * 5 - 52.5 as cx, (gy + 0.5e0) * 5 - 34 as cy from (select unnest(range(0, 21)) as gx), (select unnest(range(0, 13)) as gy)),
   inf as (select video_id, frame_idx, team, gx, gy, sum(exp(-(
       ((cx - mx) * cos(a) + (cy - my) * sin(a)) * ((cx - mx) * cos(a) + (cy - my) * sin(a)) / (2 * (4 + 0.5e0 * s) * (4 + 0.5e0 * s))
       + ((cy - my) * cos(a) - (cx - mx) * sin(a)) * ((cy - my) * cos(a) - (cx - mx) * sin(a)) / (2 * (4 / (1 + 0.1e0 * s)) * (4 / (1 + 0.1e0 * s)))))) as influence from pl, grid group by 1, 2, 3, 4, 5)"""
+_SMOOTH = f"""cnt as (select video_id, track_id, count(*) as n, count(pitch_x) as p from obs group by 1, 2 having count(*) >= 10 and count(pitch_x) >= 5),
+        {_POINTS}, used as (select pts.* from pts join cnt using (video_id, track_id)), {_OUT.format(source='used')},
+        good as (select video_id, track_id, frame_idx, x, y from flag where not bad qualify count(*) over (partition by video_id, track_id) >= 5),
+        {_fill('good', 'filled')}, {_smooth('filled', 'g', 7.0)}, {_clamp('g', 'ahead', False)}, {_clamp('ahead', 'back', True)}, {_smooth('back', 'h', 3.5)}"""
+_VOTES = f"""vd as (select video_id, track_id, 1 / (1 + exp(({_log_density(1)}) - ({_log_density(0)}))) as p from obs join embeddings on vec_id = event_id % (select count(*) from embeddings)),
+  vv as (select *, case when p >= 0.5 then 0 else 1 end as t, greatest(p, 1 - p) as c from vd),
+  vs as (select video_id, track_id, sum(case when t = 0 then c else 0 end) as a, sum(case when t = 1 then c else 0 end) as b, avg(-ln(c + 1e-10)) as o, count(*) as votes from vv group by 1, 2)"""
+_CHAIN = f"""{STATS_SQL}, {_VOTES}, seen as (select video_id, track_id, min(frame_idx) as f from obs group by 1, 2 having count(*) >= 30),
+  cast_ as (select r.video_id, r.track_id, role, mean_x, mean_y, std_x, std_y, f, coalesce(case when b > a then 1 else 0 end, 0) as team, coalesce(o, 0) as score from roles r join seen using (video_id, track_id) left join vs using (video_id, track_id)),
+  ref as (select video_id, track_id from cast_ where role = 'player' and score > 0 and abs(mean_y) <= 30 and std_x + std_y >= 0.2 qualify row_number() over (partition by video_id order by score desc, f, track_id) = 1),
+  named as (select c.*, case when exists (select 1 from ref where ref.video_id = c.video_id and ref.track_id = c.track_id) then 'referee' else role end as part from cast_ c),
+  side as (select video_id, coalesce(avg(mean_x) filter (where part = 'player' and team = 0), 0) as s0, coalesce(avg(mean_x) filter (where part = 'player' and team = 1), 0) as s1 from named group by 1),
+  chain as (select video_id, track_id, part as role, cast(case when part in ('linesman', 'referee') then -1 when part = 'player' then team when mean_x < 0 then case when s0 > s1 then 0 else 1 end else case when s0 < s1 then 0 else 1 end end as int) as team,
+    case when part = 'goalie' then 1 end as player_id from named join side using (video_id))"""
 _LABELS = "lab as (select o_custkey % 3 as dataset, case when o_orderkey % 5 = 0 then 'val' else 'train' end as split, 'img_' || (o_orderkey % 5000) as image, o_orderpriority as class_name, o_orderkey from orders)"
 _PRED = """pred as (select 'f_' || video_id || '_' || frame_idx as path, count(*) as n_boxes, list(case event_id % 4 when 0 then 0.25e0 when 1 then 0.75e0 end) filter (where event_id % 4 < 2) as boxes, sum(event_id * 7919 % 10007) as key from obs group by 1)"""
 _STEM = "regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')"
-_HEAT = """seg as (select l_orderkey as frame_id, l_partkey % 28 as class_idx, cast(l_partkey % 40 as double) as ax, cast(l_suppkey % 30 as double) as ay, cast(l_orderkey % 40 as double) as bx, cast(l_quantity % 30 as double) as by_ from lineitem where l_linenumber = 1 and l_orderkey % 100 = 1),
+_HEAT = """seg as (select l_orderkey % 7 as frame_id, l_partkey % 28 as class_idx, cast(l_partkey % 40 as double) as ax, cast(l_suppkey % 30 as double) as ay, cast(l_orderkey % 40 as double) as bx, cast(l_quantity % 30 as double) as by_ from lineitem),
   st as (select *, greatest(cast(trunc(greatest(abs(bx - ax), abs(by_ - ay))) as bigint), 1) as n from seg),
   pt as (select distinct frame_id, class_idx, cast(trunc(ax + (bx - ax) * k / n) as int) as x, cast(trunc(ay + (by_ - ay) * k / n) as int) as y from (select *, unnest(range(0, n + 1)) as k from st))"""
 
@@ -400,10 +439,7 @@ ORACLES = {
     "gap_fill": f"{CTE}, {_POINTS}, {_fill('pts', 'dense')} select {_END} from dense",
     "gaussian_smooth": f"{CTE}, {_POINTS}, {_fill('pts', 'dense')}, {_smooth('dense', 'g', 7.0)} select {_END} from g",
     "velocity_clamp": f"{CTE}, {_POINTS}, {_fill('pts', 'dense')}, {_clamp('dense', 'ahead', False)}, {_clamp('ahead', 'back', True)} select {_END} from back",
-    "smooth_full": f"""{CTE}, cnt as (select video_id, track_id, count(*) as n, count(pitch_x) as p from obs group by 1, 2 having count(*) >= 10 and count(pitch_x) >= 5),
-        {_POINTS}, used as (select pts.* from pts join cnt using (video_id, track_id)), {_OUT.format(source='used')},
-        good as (select video_id, track_id, frame_idx, x, y from flag where not bad qualify count(*) over (partition by video_id, track_id) >= 5),
-        {_fill('good', 'dense')}, {_smooth('dense', 'g', 7.0)}, {_clamp('g', 'ahead', False)}, {_clamp('ahead', 'back', True)}, {_smooth('back', 'h', 3.5)} select {_END} from h""",
+    "smooth_full": f"{CTE}, {_SMOOTH} select {_END} from h",
     "slot_velocity": f"{CTE}, {_VELOCITY} select {_KEYS}, round(vx + 1.37e-9, 6) + 0.0 as vx, round(vy + 1.37e-9, 6) + 0.0 as vy from vel",
     "trails": f"""{CTE}, t as (select event_id, count(*) over w as points, first_value(pitch_x) over w as ox from obs where pitch_x is not null window w as (partition by video_id, track_id order by frame_idx rows between 19 preceding and current row))
         select event_id, points, round(ox, 6) + 0.0 as oldest_x, cast(trunc(100 + 155 * (1.0e0 / points)) as int) as oldest_gray, 255 as newest_gray from t""",
@@ -425,10 +461,15 @@ ORACLES = {
         e as (select video_id, slot_key, o, max(frame_idx) as f, arg_max(x, frame_idx) as x, arg_max(y, frame_idx) as y from r group by 1, 2, 3),
         b as (select video_id, slot_key, o, frame_idx, x, y from r union all select video_id, slot_key, o, unnest(range(f + 1, total)), x, y from e join (select video_id as lv, max(frame_idx) + 1 as total from frag group by 1) on lv = video_id)
         select video_id, slot_key, frame_idx, round(arg_max(x, o) + 1.37e-9, 6) + 0.0 as x, round(arg_max(y, o) + 1.37e-9, 6) + 0.0 as y from b group by 1, 2, 3""",
-    "colour_vote": f"""{CTE}, d as (select video_id, track_id, 1 / (1 + exp(({_log_density(1)}) - ({_log_density(0)}))) as p from obs join embeddings on vec_id = event_id % (select count(*) from embeddings)),
-        v as (select *, case when p >= 0.5 then 0 else 1 end as t, greatest(p, 1 - p) as c from d),
-        s as (select video_id, track_id, sum(case when t = 0 then c else 0 end) as a, sum(case when t = 1 then c else 0 end) as b, avg(-ln(c + 1e-10)) as o, count(*) as votes from v group by 1, 2)
-        select video_id, track_id, case when b > a then 1 else 0 end as team, round(greatest(a, b) / (a + b), 5) as confidence, round(o, 5) as outlier_score, votes from s""",
+    "role_chain": f"{CTE}, {_CHAIN} select video_id, track_id, role, team, player_id from chain",
+    "motion_plan": f"""{CTE}, {_VELOCITY}, p as (select *, cast(trunc(50 + (x + 52.5) * 10) as int) as px, cast(trunc(50 + (34 - y) * 10) as int) as py from vel),
+        l as (select a.video_id, a.track_id, 'trail' as kind, a.px, a.py, a.i, n.i as n
+              from p a join p n on n.video_id = a.video_id and n.track_id = a.track_id and n.i > a.i and n.i - a.i < 20 where abs(a.x) <= 57.5 and abs(a.y) <= 39),
+        r as (select video_id, track_id, kind, px, py, cast(trunc(100 + 155 * ((i - n + least(20, n)) / cast(least(20, n) as double))) as int) as gray from l
+              union all select video_id, track_id, 'arrow', px, py, null from p where (abs(vx) > 0.1 or abs(vy) > 0.1) and abs(x) <= 57.5 and abs(y) <= 39)
+        select video_id, track_id, kind, count(*) as n, cast(sum(px) as bigint) as px, cast(sum(py) as bigint) as py, cast(sum(gray) as bigint) as gray from r group by 1, 2, 3""",
+    "colour_vote": f"""{CTE}, {_VOTES}
+        select video_id, track_id, case when b > a then 1 else 0 end as team, round(greatest(a, b) / (a + b), 5) as confidence, round(o, 5) as outlier_score, votes from vs""",
     "reid_similarity_topk": """with p as (select a.vec_id as query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: least(abs(z[1]), abs(z[2]))::double)), 6) as similarity
         from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
         select * from p qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 5""",

@@ -52,11 +52,11 @@ def function_timings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keypoints(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_partkey") % 28).alias("class_idx"), (F.col("l_suppkey") % 3).alias("pt_idx"), (F.col("l_discount").cast("double") * 11).alias("kx"), (F.col("l_tax").cast("double") * 12.5).alias("ky"), (F.col("l_quantity") / 50).cast("double").alias("visibility"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_partkey") % 28).alias("class_idx"), (F.col("l_suppkey") % 3).alias("pt_idx"), (F.col("l_discount").cast("double") * 11).alias("kx"), (F.col("l_tax").cast("double") * 12.5).alias("ky"), (F.col("l_quantity") / 50).cast("double").alias("visibility"))
 
 
 def correspondences(spark: SparkSession, d: str) -> DataFrame:
-    lines = _keypoints(spark, d).select("frame_id", "class_idx", (F.col("frame_id") % 10 / 10.0).alias("confidence"))
+    lines = _keypoints(spark, d).select("frame_id", "class_idx", (F.col("frame_id") % 10 / 10.0).alias("confidence")).distinct()
     rows = calibration.correspondences(_keypoints(spark, d), lines, 1920.0, 1080.0)
     return rows.select("frame_id", "class_idx", "pt_idx", *(r6(F.col(c)).alias(c) for c in ("u", "v", "x", "y")))
 
@@ -72,7 +72,7 @@ def line_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    points = _keypoints(spark, d).filter("frame_id % 50 = 1").select("frame_id", "class_idx", F.col("kx").alias("x"), F.col("ky").alias("y"))
+    points = _keypoints(spark, d).select((F.col("frame_id") % 11).alias("frame_id"), "class_idx", F.col("kx").alias("x"), F.col("ky").alias("y"))
     return calibration.point_heat(points, 48, 27).select("frame_id", "class_idx", "px", "py", r6(F.col("heat")).alias("heat"))
 
 
@@ -108,22 +108,21 @@ def colour_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks, smoothing, fragments, slots and velocities of all matches in one plan: the final table of slot positions and speeds."""
+    """All passes over all matches: roles and teams, smoothed paths, fragments of a team merged, slots, their places and speeds."""
+    motion._scratch(spark)
     obs = observations(spark, d)
-    rows = motion._roles(motion._components(spark, d))
-    smooth = trajectories.smooth_tracks(motion.fragment_rows(spark, d))
-    frames = fragments.slot_frames(smooth, fragments.slots(rows), rows)
-    known = frames.withColumn("track_id", F.abs(F.xxhash64("slot_key")))
-    moving = trajectories.velocities(known)
-    out = known.select("video_id", "slot_key", "track_id").distinct().join(moving, ["video_id", "track_id"]).drop("track_id")
-    counted = obs.groupBy("video_id", "frame_idx").agg(F.count("*").alias("boxes"))
-    return out.join(counted, ["video_id", "frame_idx"], "left").select("video_id", "slot_key", "frame_idx", "x", "y", "vx", "vy", F.coalesce("boxes", F.lit(0)).alias("boxes"))
+    cast = fragments.summaries(obs).join(motion.role_chain(spark, d), ["video_id", "track_id"])
+    teams = cast.filter(F.col("team").isin(0, 1))
+    rows = cast.join(fragments.components(teams, fragments.parents(teams)).select("video_id", "track_id", "root"), ["video_id", "track_id"], "left")
+    frames = fragments.slot_frames(trajectories.smooth_tracks(obs), fragments.slots(rows), rows)
+    moving = trajectories.velocities(frames.withColumnRenamed("slot_key", "track_id"))
+    return motion._xy(moving, "vx", "vy").select("video_id", F.col("track_id").alias("slot_key"), "frame_idx", "x", "y", "vx", "vy")
 
 
 QUERIES = {f.__name__: f for f in (softmax_filter, detection_labels, player_labels, box_suppression, target_boxes, frame_samples, video_table, function_timings, correspondences, pitch_overlay, line_projection, point_heatmap, background_channel, slot_positions, yolo_to_coco, colour_features, match_analysis)}
 
 _TEMPLATE = "tpl(class_idx, pt_idx, x, y) as (values " + ", ".join(f"({pitch.LINE_CLASSES.index(n)}, {k}, {x!r}::double, {y!r}::double)" for n, k, x, y in pitch.template()) + ")"
-_KP = "kp as (select l_orderkey as frame_id, l_partkey % 28 as class_idx, l_suppkey % 3 as pt_idx, l_discount::double * 11 as kx, l_tax::double * 12.5 as ky, (l_quantity / 50)::double as visibility from lineitem where l_linenumber = 1)"
+_KP = "kp as (select l_orderkey as frame_id, l_partkey % 28 as class_idx, l_suppkey % 3 as pt_idx, l_discount::double * 11 as kx, l_tax::double * 12.5 as ky, (l_quantity / 50)::double as visibility from lineitem)"
 _LINES = "ln(line_idx, ax, ay, az, bx, by_, bz) as (values " + ", ".join("(" + ", ".join([str(k), *(f"{v - c!r}::double" for e in line for v, c in zip(e, (52.5, 34.0, 0.0), strict=True))]) + ")" for k, line in enumerate(pitch.LINES_3D)) + ")"
 _PATCH = """ds as (select unnest(range(-6, 7))::int as dx), hp as (select p.frame_id, class_idx, cast(trunc(x * 48) as int) + a.dx as px, cast(trunc(y * 27) as int) + b.dx as py, exp(-(a.dx * a.dx + b.dx * b.dx) / 8.0e0) as g from pt p, ds a, ds b),
   heat as (select frame_id, class_idx, px, py, max(g) as heat from hp where px between 0 and 47 and py between 0 and 26 group by 1, 2, 3, 4)"""
@@ -151,10 +150,19 @@ ORACLES = {
         select video_id, frame_idx, class_idx, count(*) as n, cast(sum(u + 3 * v) as bigint) as checksum from p where u > -500 and u < 1780 and v > -500 and v < 1220 group by 1, 2, 3 having count(*) >= 2""",
     "line_projection": f"""with {tracking._CAM_SQL}, c as (select p_partkey, f, {tracking._CAMERA['p03']} as p03, {tracking._CAMERA['p13']} as p13, -pz + 50.5 as p23 from cam), {_LINES}
         select p_partkey, line_idx, {_pixel('a', 0)}, {_pixel('a', 1)}, {_pixel('b', 0)}, {_pixel('b', 1)} from c, ln""",
-    "point_heatmap": f"with {_KP}, pt as (select frame_id, class_idx, kx as x, ky as y from kp where frame_id % 50 = 1), {_PATCH} select frame_id, class_idx, px, py, round(heat, 6) + 0.0 as heat from heat",
-    "background_channel": f"with {_KP}, pt as (select frame_id % 7 as frame_id, class_idx, kx as x, ky as y from kp), {_PATCH} select frame_id, px, py, round(1 - max(heat), 6) + 0.0 as background from heat group by 1, 2, 3",
+    "point_heatmap": f"with {_KP}, pt as (select distinct frame_id % 11 as frame_id, class_idx, kx as x, ky as y from kp), {_PATCH} select frame_id, class_idx, px, py, round(heat, 6) + 0.0 as heat from heat",
+    "background_channel": f"with {_KP}, pt as (select distinct frame_id % 7 as frame_id, class_idx, kx as x, ky as y from kp), {_PATCH} select frame_id, px, py, round(1 - max(heat), 6) + 0.0 as background from heat group by 1, 2, 3",
     "slot_positions": f"""with sf as ({motion.ORACLES['slot_frames']}), g as (select distinct video_id, slot_key from sf), t as (select g.*, unnest(range(0, total)) as frame_idx from g join (select video_id as lv, max(frame_idx) + 1 as total from sf group by 1) on lv = g.video_id)
         select t.video_id, t.slot_key, t.frame_idx, x, y from t left join sf on sf.video_id = t.video_id and sf.slot_key = t.slot_key and sf.frame_idx = t.frame_idx""",
+    "match_analysis": f"""{CTE}, {motion._CHAIN}, {motion._SMOOTH},
+        {motion._TRACKS.replace("from frag group by 1, 2)", "from obs join chain using (video_id, track_id) group by 1, 2)").replace("ord as (select *, row_number()", "ord as (select trk.*, role, team, row_number()").replace("from trk)", "from trk join chain using (video_id, track_id))").replace("p.o < c.o and", "p.o < c.o and p.team = c.team and p.team >= 0 and")},
+        rol as (select ord.*, root from ord join comp using (video_id, track_id)),
+        {motion._SLOTS[motion._SLOTS.index("grp as"):]},
+        pl as (select h.video_id, h.frame_idx, h.x, h.y, slot_key, o from h join slt using (video_id, track_id) join ord using (video_id, track_id)),
+        e as (select video_id, slot_key, o, max(frame_idx) as f, arg_max(x, frame_idx) as x, arg_max(y, frame_idx) as y from pl group by 1, 2, 3),
+        b as (select video_id, slot_key, o, frame_idx, x, y from pl union all select video_id, slot_key, o, unnest(range(f + 1, total)), x, y from e join (select video_id as lv, max(last_frame) + 1 as total from ord group by 1) on lv = video_id),
+        dense as (select video_id, slot_key as track_id, frame_idx, arg_max(x, o) as x, arg_max(y, o) as y from b group by 1, 2, 3), {motion._MOVING}
+        select video_id, track_id as slot_key, frame_idx, {', '.join(f'round({c} + 1.37e-9, 6) + 0.0 as {c}' for c in ('x', 'y', 'vx', 'vy'))} from vel""",
     "yolo_to_coco": f"""{CTE}, l as (select video_id % 2 as split, video_id * 1000 + frame_idx as image, event_id % 4 as category_id, floor(x1) as cx, floor(y1) as cy from obs)
         select split, dense_rank() over (partition by split order by image) as image_id, row_number() over (partition by split order by image, category_id, cx, cy) as annotation_id, category_id, cx - 1 as "left", cy - 2 as top, 2.0e0 as w, 4.0e0 as h from l""",
 }
