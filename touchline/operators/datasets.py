@@ -17,6 +17,22 @@ def merge(labels: DataFrame) -> DataFrame:
     return labels.join(first, "image").filter(place == F.col("_p")).drop("_p")
 
 
+def merge_named(datasets: DataFrame, labels: DataFrame, sources: list[str], deduplicate: bool = True) -> DataFrame:
+    """The labels of the named sources as one data set, in the order named; ValueError where their formats differ or one is missing.
+
+    datasets: name, format, a row for each data set. labels: dataset (a name), split, image, class_name.
+    """
+    known = {r["name"]: r["format"] for r in datasets.filter(F.col("name").isin(sources)).select("name", "format").collect()}
+    missing = [n for n in sources if n not in known]
+    if missing:
+        raise ValueError(f"no data set {', '.join(missing)}")
+    if len(set(known.values())) > 1:
+        raise ValueError(f"data sets of different formats: {sorted(set(known.values()))}")
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("dataset"))
+    rows = labels.filter(F.col("dataset").isin(sources)).withColumn("_name", F.col("dataset")).withColumn("dataset", place)
+    return (merge(rows) if deduplicate else rows).withColumn("dataset", F.col("_name")).drop("_name")
+
+
 def statistics(labels: DataFrame) -> DataFrame:
     """images and annotations of every data set by split, with the totals of a rollup."""
     return labels.rollup("dataset", "split").agg(F.count_distinct("image").alias("images"), F.count("*").alias("annotations"))
@@ -66,15 +82,18 @@ def output_paths(paths: DataFrame, prefix: str, suffix: str, seconds: Column, pa
     return paths.withColumn("output", F.concat(F.concat_ws("_", F.lit(prefix), stem, F.when(seconds.isNotNull(), F.concat(seconds.cast("int").cast("string"), F.lit("s"))), F.lit(suffix)), F.lit(".avi")))
 
 
-def nearest_histograms(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+def nearest_histograms(queries: DataFrame, gallery: DataFrame, k: int, blocks: int = 64) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k gallery rows with the largest histogram intersection.
 
-    queries is a stated set of bounded size (broadcast); each task keeps k candidates a query
-    before the shuffle: ranks within it are taken per block of the gallery first.
+    Queries meet the gallery block by block, so that every pair is made once. Spark broadcasts the blocks
+    while they are small by its own measure and shuffles both sides beyond. Ranks are taken within a block
+    of the gallery first, which leaves k candidates a query and block.
     """
     overlap = F.aggregate(F.zip_with("q", "v", lambda a, b: F.least(F.abs(a), F.abs(b)).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    rows = gallery.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(overlap, 6))
+    spread = gallery.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    rows = spread.join(asked, "_block").filter(F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(overlap, 6))
     order = (F.desc("similarity"), F.asc("vec_id"))
-    block = Window.partitionBy("query_id", F.pmod(F.col("vec_id"), F.lit(64))).orderBy(*order)
-    rows = rows.select("query_id", "vec_id", "similarity").withColumn("rank", F.row_number().over(block)).filter(F.col("rank") <= k)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+    block = Window.partitionBy("query_id", "_block").orderBy(*order)
+    rows = rows.select("query_id", "vec_id", "similarity", "_block").withColumn("rank", F.row_number().over(block)).filter(F.col("rank") <= k)
+    return rows.drop("_block").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)

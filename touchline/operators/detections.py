@@ -77,3 +77,9 @@ def video_table(frames: DataFrame, fps: float) -> DataFrame:
 def timings(calls: DataFrame) -> DataFrame:
     """function, calls, total, longest and mean ms; the largest total first. calls: function, ms."""
     return calls.groupBy("function").agg(F.count("*").alias("calls"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"), F.avg("ms").alias("avg_ms")).orderBy(F.desc("total_ms"), "function")
+
+
+def records(dets: DataFrame) -> DataFrame:
+    """dets with record: the JSON of box, confidence, class and track; no embedding."""
+    box = F.array("x1", "y1", "x2", "y2").alias("bbox")
+    return dets.withColumn("record", F.to_json(F.struct(box, "confidence", "class_id", "class_name", "track_id"), {"ignoreNullFields": "false"}))

@@ -6,7 +6,8 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -41,6 +42,68 @@ def read_images_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("frame_idx", F.coalesce("b._label", F.lit("")).alias("label"), *box, (F.coalesce("b._occluded", F.lit("")) == "1").alias("occluded"), F.map_from_entries(pairs).alias("attributes"))
 
 
+def read_calibration_pairs(spark: SparkSession, folder: str, ending: str = "jpg") -> DataFrame:
+    """read_calibration for the frames that have an image <frame_id>.jpg beside their annotations."""
+    return read_calibration(spark, folder).join(_stems(spark, f"{folder}/*.{ending}", "frame_id"), "frame_id", "left_semi")
+
+
+def read_line_samples(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """image (path), lines, extremities (JSON) of a training split.
+
+    <split>_annotations.json, a list of samples, is read where there is one, else labels/<split>/<stem>.json;
+    either way only samples whose image is there count.
+    """
+    listed = f"{folder}/{split}_annotations.json"
+    if _exists(spark, listed):
+        samples = spark.read.option("multiLine", True).schema("image STRING, lines STRING, extremities STRING").json(listed)
+        images = _paths(spark, f"{folder}/images", "*.jpg", True)
+        known = images.select(F.regexp_extract("path", r"/images/(.+)$", 1).alias("image"), "path")
+        return samples.join(known, "image").select(F.col("path").alias("image"), "lines", F.coalesce("extremities", F.lit("{}")).alias("extremities"))
+    if not (_exists(spark, f"{folder}/images/{split}") and _exists(spark, f"{folder}/labels/{split}")):
+        return spark.createDataFrame([], "image STRING, lines STRING, extremities STRING")
+    labels = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{folder}/labels/{split}")
+    fields = F.from_json("value", "lines STRING, extremities STRING")
+    labels = labels.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("stem"), fields.alias("s"))
+    images = _paths(spark, f"{folder}/images/{split}", "*.jpg", False)
+    paired = images.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.jpg$", 1)).join(labels, "stem")
+    return paired.select(F.col("path").alias("image"), *(F.coalesce(f"s.{c}", F.lit("{}")).alias(c) for c in ("lines", "extremities")))
+
+
+def list_videos(spark: SparkSession, folder: str) -> DataFrame:
+    """video_id of the folders <video_id>/metadata.json, in order."""
+    found = _paths(spark, folder, "metadata.json", True)
+    return found.select(F.regexp_extract("path", r"([^/]+)/metadata\.json$", 1).alias("video_id")).distinct().orderBy("video_id")
+
+
+def load_metadata(spark: SparkSession, folder: str, video_id: str) -> DataFrame:
+    """The one row of <video_id>/metadata.json; FileNotFoundError without it."""
+    path = f"{folder}/{video_id}/metadata.json"
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no metadata of video {video_id}")
+    return spark.read.option("multiLine", True).json(path)
+
+
+def _paths(spark: SparkSession, folder: str, pattern: str, deep: bool) -> DataFrame:
+    """Paths of files below folder, without their contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep)
+    return files.load(folder).select("path")
+
+
+def _stems(spark: SparkSession, pattern: str, name: str) -> DataFrame:
+    """Names without their ending of the files that match, none where none do."""
+    folder, _, ending = pattern.rpartition("/")
+    return _paths(spark, folder, ending, False).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias(name))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can read there, on any file system it knows."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def read_yolo(spark: SparkSession, folder: str) -> DataFrame:
     """split, image, class_id, cx, cy, w, h of label files <folder>/<split>/<image>.txt."""
     from touchline.operators.annotations import parse_yolo
@@ -60,6 +123,30 @@ def read_datasets(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(DATASET_INFO).option("multiLine", True).json(f"{base}/*/dataset_info.json").orderBy("name")
 
 
+def create_dataset(spark: SparkSession, base: str, name: str, form: str = "yolo", train_split: float = 0.8, sources: list[str] | None = None) -> DataFrame:
+    """The record of a new, empty data set, written to <base>/<name>/dataset_info.json; ValueError if the data set exists."""
+    folder = f"{base}/{name}"
+    if _exists(spark, folder):
+        raise ValueError(f"data set {name} exists")
+    row = (name, "1.0.0", form, 0, 0, {}, train_split, None, None, sources or [], {})
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    record = spark.createDataFrame([row], DATASET_INFO).withColumns({"created_at": now, "updated_at": now})
+    record.coalesce(1).write.json(f"{folder}/dataset_info.json")
+    return spark.read.schema(DATASET_INFO).json(f"{folder}/dataset_info.json")
+
+
+def stamped(record: DataFrame, images: Column, annotations: Column) -> DataFrame:
+    """record with new counts and updated_at; created_at stays."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return record.withColumns({"num_images": images.cast("int"), "num_annotations": annotations.cast("int"), "updated_at": now})
+
+
+def write_data_yaml(spark: SparkSession, folder: str, labels: dict[str, int], val: str = "images/val") -> None:
+    """data.yaml as a text file in the folder <folder>/data.yaml: paths of the splits and class names by id."""
+    lines = ["names:", *(f"  {k}: {v}" for v, k in sorted(labels.items(), key=lambda item: item[1])), f"path: {folder}", "train: images/train", f"val: {val}"]
+    spark.createDataFrame([("\n".join(lines),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{folder}/data.yaml")
+
+
 def write_tracks(tracks: DataFrame, path: str) -> None:
     tracks.write.partitionBy("video_id").json(path)
 
