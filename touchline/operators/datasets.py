@@ -91,7 +91,7 @@ def nearest_histograms(queries: DataFrame, gallery: DataFrame, k: int, blocks: i
     """
     overlap = F.aggregate(F.zip_with("q", "v", lambda a, b: F.least(F.abs(a), F.abs(b)).cast("double")), F.lit(0.0), lambda a, x: a + x)
     spread = gallery.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     rows = spread.join(asked, "_block").filter(F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(overlap, 6))
     order = (F.desc("similarity"), F.asc("vec_id"))
     block = Window.partitionBy("query_id", "_block").orderBy(*order)

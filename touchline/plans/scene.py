@@ -111,9 +111,9 @@ def match_analysis(spark: SparkSession, d: str) -> DataFrame:
     """All passes over all matches: roles and teams, smoothed paths, fragments of a team merged, slots, their places and speeds."""
     motion._scratch(spark)
     obs = observations(spark, d)
-    cast = fragments.summaries(obs).join(motion.role_chain(spark, d), ["video_id", "track_id"])
+    cast = fragments.summaries(obs).join(motion.role_chain(spark, d), ["video_id", "track_id"]).checkpoint()  # a row for each track, read many times
     teams = cast.filter(F.col("team").isin(0, 1))
-    rows = cast.join(fragments.components(teams, fragments.parents(teams)).select("video_id", "track_id", "root"), ["video_id", "track_id"], "left")
+    rows = cast.join(fragments.components(teams, fragments.parents(teams)).select("video_id", "track_id", "root"), ["video_id", "track_id"], "left").checkpoint()
     frames = fragments.slot_frames(trajectories.smooth_tracks(obs), fragments.slots(rows), rows)
     moving = trajectories.velocities(frames.withColumnRenamed("slot_key", "track_id"))
     return motion._xy(moving, "vx", "vy").select("video_id", F.col("track_id").alias("slot_key"), "frame_idx", "x", "y", "vx", "vy")
