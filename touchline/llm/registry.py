@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontaminate, langid, licenses, lm, mixing, pii, quality, simhash, tokens, urls
+from touchline.llm import alignment, decontaminate, divergence, langid, licenses, lm, mixing, neighbours, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_pii": pii.query,
     "op10_token_files": tokens.query,
+    "op11_source_divergence": divergence.query,
+    "op12_quality_classifier": neighbours.query,
+    "op13_tokenizer_alignment": alignment.query,
 }
 
 ORACLES = {
     "op4_license_scan": licenses.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op7_url_filters": urls.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
