@@ -77,6 +77,7 @@ def _groups(spans, shared):
     return out
 
 
+PATHS = public_tokenizers.path(alignment.BYTE_LEVEL), public_tokenizers.path(alignment.PIECES)
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -88,19 +89,15 @@ def test_equals_plain_loops(spark, monkeypatch, hot):
     assert [found[k] for k in range(len(TEXTS))] == plain(TEXTS)
 
 
-def test_small_memo_changes_nothing(monkeypatch):
-    import numpy as np
-
-    texts = [t or "" for t in TEXTS]
-    raw = [t.encode() for t in texts]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    paths = public_tokenizers.path(alignment.BYTE_LEVEL), public_tokenizers.path(alignment.PIECES)
-    want = alignment.Aligner(*paths).tokens(data, offsets)
+def test_small_memo_and_blocks_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "_ALIGNERS", {})
+    docs = spark.createDataFrame(list(enumerate(TEXTS * 3)), "doc_id int, text string")
+    size = 32_000
+    want = sorted(tuple(r) for r in alignment.aligned(alignment.tokenized(docs, *PATHS), size).collect())
     monkeypatch.setattr(alignment, "MEMO", 3)
-    small = alignment.Aligner(*paths)
-    for _ in range(2):
-        for one, two in zip(small.tokens(data, offsets), want, strict=True):
-            assert all((x == y).all() for x, y in zip(one, two, strict=True))
+    monkeypatch.setattr(alignment, "BLOCK", 10)
+    monkeypatch.setattr("touchline.llm.kernels.BLOCK_BYTES", 10)
+    assert sorted(tuple(r) for r in alignment.aligned(alignment.tokenized(docs, *PATHS), size).collect()) == want
 
 
 def test_empty_table(spark):

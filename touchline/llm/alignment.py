@@ -11,10 +11,11 @@ Counts of id pairs are an aggregate over all links; sums by text read them back.
 The pairs' counts come to the links in two ways: the most frequent pairs, at most HOT of them (under 5 MB), are
 broadcast; links of all other pairs are shuffled to their counts. No pair is left out.
 
-Tokenizers give a segment (a space and what follows up to the next single space) the same ids wherever it stands,
-so a task tokenizes each distinct segment once; this is checked on the tokenizers' files, and texts with a segment
-that either side does not give back byte for byte are tokenized whole. Segments are told apart by a 64-bit hash
-and their length. A task holds one block of texts, and the arrays of one text at a time, about 200 bytes for each of its bytes.
+Tokenizers give a segment (a space and what follows up to the next single space) the same ids wherever it stands, and
+both end there. So tokenizing gives blocks of about BLOCK bytes of texts (a longer text is a block of its own): the tokens of each
+distinct segment, and every text as a list of segments. Groups and links are built once a segment and block and put together
+by text. That segments may be taken apart is checked on the tokenizers' files; texts with a segment that either side does not give
+back byte for byte are one segment. Segments are told apart by a 64-bit hash and their length. A task holds one block.
 
 Defined results: NULL, empty and unfaithful texts (joined bytes of either side differ from space + text) have
 no tokens: zeros, and '' for the digest; repeated rows are texts of their own, in the counts too; an empty
@@ -29,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from touchline.llm.kernels import HashIndex, Words, doc_blocks
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast; segments that a task remembers; segments tokenized in one call.
 HOT, MEMO, BATCH = 1 << 18, 2_000_000, 4000
+#: Bytes of text that share one table of segments.
+BLOCK = 6 << 20
 
 _MARK, _SIDE, _PLACE = 32, 1 << 31, (1 << 31) - 1
 _PLAIN = np.ones(256, dtype=bool)
@@ -99,9 +103,9 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         self.sides = (ByteLevel(byte_path), Pieces(piece_path))
         self.length = [np.array([len(t) for t in side.token], np.int32) for side in self.sides]
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index, self.bytes, self.good = HashIndex(), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids, self.start, self.size = ([np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2)
 
@@ -124,77 +128,93 @@ class Aligner:
         self.good = np.concatenate([self.good, good])
         self.index.add(hashes)
 
-    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first token of every text and an end, ids, byte offset where each ends within space + text) for either side."""
+    def _whole(self, text: bytes) -> int:
+        """The number of a text that is one segment, -1 if it is unfaithful."""
+        key = np.array([xxhash.xxh64_intdigest(text, 17)], np.uint64)
+        found = int(self.index.find(key)[0])
+        if found < 0:
+            self._learn(key, [text])
+            found = len(self.index.keys) - 1
+        return found if self.good[found] else -1
+
+    def full(self) -> bool:
+        return len(self.index.keys) > MEMO
+
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts' segments in turn, segments of each text); a text without tokens has none."""
         n, size = len(offsets) - 1, np.diff(offsets)
-        full = size > 0
         # a space before every text that is not empty
-        shift = np.cumsum(full)
-        spaced = np.full(len(data) + int(shift[-1]) if n else 0, 32, np.uint8)
+        shift = np.cumsum(size > 0)
+        spaced = np.full(len(data) + int(shift[-1]), 32, np.uint8)
         spaced[np.arange(len(data)) + np.repeat(shift, size)] = data
-        bounds = np.concatenate([[0], np.cumsum(size + full)])
+        bounds = np.concatenate([[0], np.cumsum(size + (size > 0))])
         cut = np.zeros(len(spaced), dtype=bool)
         cut[1:-1] = (spaced[1:-1] == 32) & (spaced[:-2] != 32) & ~_BLANK_LEAD[spaced[2:]]
         words = Words(spaced, bounds, _ANY, _PLAIN, cut)
         known = self.index.find(words.hashes)
         lacking = np.flatnonzero(known < 0)
+        raw = spaced.tobytes()
         if len(lacking):
             hashes, where = np.unique(words.hashes[lacking], return_index=True)
-            if len(self.index.keys) + len(hashes) > MEMO:
-                self._clear()
-                hashes, where = np.unique(words.hashes, return_index=True)
-                lacking = np.arange(len(words.hashes))
-            raw = spaced.tobytes()
             self._learn(hashes, [raw[words.starts[i] : words.ends[i]] for i in lacking[where].tolist()])
-            known = self.index.find(words.hashes)
+            known[lacking] = self.index.find(words.hashes[lacking])
+        known = known.astype(np.int64)
         bad = ~self.good[known] | (self.bytes[known] != words.ends - words.starts)
-        doc = np.repeat(np.arange(n), np.diff(words.first))
-        whole = np.unique(doc[bad])  # texts that are tokenized as one
-        out = []
-        keep = ~np.isin(doc, whole)
-        for k, side in enumerate(self.sides):
-            each = np.where(keep, self.size[k][known], 0)
-            ahead = np.cumsum(each) - each
-            ids = self.ids[k][np.repeat(self.start[k][known] - ahead, each) + np.arange(int(each.sum()))]
-            per_doc = np.bincount(doc, weights=each, minlength=n).astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(per_doc)])
+        each = np.diff(words.first)
+        if bad.any():  # texts that are one segment
+            doc = np.repeat(np.arange(n), each)
+            odd = np.unique(doc[bad])
+            keep = ~np.isin(doc, odd)
+            keep[words.first[odd]] = True
+            known[words.first[odd]] = [self._whole(raw[bounds[i] : bounds[i + 1]]) for i in odd.tolist()]
+            keep &= known >= 0
+            each, known = np.bincount(doc[keep], minlength=n), known[keep]
+        return known, each
+
+    def table(self, held: list[tuple[list, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """One row: the tokens of the distinct segments, and the texts as lists of their places."""
+        known, each = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        once, place = np.unique(known, return_inverse=True)
+        lists, totals = [], []
+        doc = np.repeat(np.arange(len(each)), each)
+        for k in (0, 1):
+            size = self.size[k][once]
+            first = np.concatenate([[0], np.cumsum(size)])
+            ids = self.ids[k][np.repeat(self.start[k][once] - first[:-1], size) + np.arange(int(first[-1]))]
             ends = np.cumsum(self.length[k][ids], dtype=np.int64)
-            ends -= np.repeat(np.concatenate([[0], ends])[first[:-1]], per_doc)
-            out.append((first, ids, ends))
-        for i in whole.tolist():
-            text = spaced[bounds[i] : bounds[i + 1]].tobytes()
-            made = [np.array(side.encode([text[1:].decode()])[0], np.int32) for side in self.sides]
-            if all(side.faithful(ids.tolist(), text) for side, ids in zip(self.sides, made, strict=True)):
-                out = [_with(side, i, ids, np.cumsum(length[ids], dtype=np.int64)) for side, ids, length in zip(out, made, self.length, strict=True)]
-        return out
-
-
-def _with(side: tuple, i: int, ids: np.ndarray, ends: np.ndarray) -> tuple:
-    """The tokens of a block, with those of text i put in."""
-    first, all_ids, all_ends = side
-    at = first[i]
-    first = first.copy()
-    first[i + 1 :] += len(ids)
-    return first, np.concatenate([all_ids[:at], ids, all_ids[at:]]), np.concatenate([all_ends[:at], ends, all_ends[at:]])
+            ends -= np.repeat(np.concatenate([[0], ends])[first[:-1]], size)
+            at = pa.array(first, pa.int32())
+            lists += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))]
+            totals.append(np.bincount(doc, weights=self.size[k][known], minlength=len(each)).astype(np.int64))
+        segments = pa.StructArray.from_arrays(lists, names=["a_ids", "a_ends", "b_ids", "b_ends"])
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(place, pa.int32()))
+        texts = pa.StructArray.from_arrays([pa.array([i for h in held for i in h[0]], pa.int64()), *(pa.array(t) for t in totals), places], names=["doc_id", "n_a", "n_b", "places"])
+        row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays([row(segments), row(texts)], names=["segments", "texts"])
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-TOKENS = "doc_id bigint, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+TOKENS = "segments array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>, texts array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,places:array<int>>>"
 
 
 def tokenized(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """doc_id and both sides' ids and ends of every row of docs (doc_id, text); both empty where a text has no tokens."""
+    """Blocks of docs (doc_id, text): the tokens of their segments, and the texts (no segments where a text has no tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = (byte_path, piece_path)
         if paths not in _ALIGNERS:
             _ALIGNERS[paths] = Aligner(*paths)
+        aligner, held, size = _ALIGNERS[paths], [], 0
         for rows, data, offsets in doc_blocks(batches):
-            columns = [rows.column(0)]
-            for first, ids, ends in _ALIGNERS[paths].tokens(data, offsets):
-                at = pa.array(first, pa.int32())
-                columns += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            if held and (size + len(data) > BLOCK or aligner.full()):
+                yield aligner.table(held)
+                held, size = [], 0
+            if aligner.full():
+                aligner.clear()
+            held.append((rows.column(0).to_pylist(), *aligner.segments(data, offsets)))
+            size += len(data)
+        if held:
+            yield aligner.table(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
@@ -224,30 +244,41 @@ def _steps(marks: Column) -> Column:
     return F.array_remove(F.transform(marks, step), -1)
 
 
-def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, links (a_id * b_size + b_id of every overlapping pair), groups (text form, in order).
-
-    tokens: as tokenized gives them; b_size: above all ids of the second side.
-    """
-    high, low = lambda s: F.shiftright(s, _MARK).cast("int"), lambda s: s.bitwiseAND(F.lit(_PLACE)).cast("int")
-    shared = F.array_intersect("a_ends", "b_ends")
-    steps = _let(_marks(F.col("a_ends"), F.col("b_ends")), _steps)
-    made = tokens.select("doc_id", "a_ids", "b_ids", "a_ends", "b_ends", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), shared.alias("shared"), steps.alias("steps"))
-    links = F.transform("steps", lambda s: F.col("a_ids")[high(s)].cast("long") * b_size + F.col("b_ids")[low(s)])
-    # the steps that end where both sides end close the groups: as many as shared offsets, in the same order
-    closing = F.filter("steps", lambda s: F.col("a_ends")[high(s)] == F.col("b_ends")[low(s)])
+def _aligned_segment(s: Column, b_size: int) -> Column:
+    """links (a_id * b_size + b_id of every overlapping pair) and groups (their text form) of one segment."""
+    high, low = lambda x: F.shiftright(x, _MARK).cast("int"), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
+    a_ids, b_ids, a_ends, b_ends = (s[name] for name in ("a_ids", "b_ids", "a_ends", "b_ends"))
+    shared = F.array_intersect(a_ends, b_ends)
 
     def listed(ids: Column, place: Callable[[Column], Column], ends: Column, g: Column) -> Column:
         before = F.when(g > 0, place(ends[g - 1]) + 1).otherwise(F.lit(0))
         return F.array_join(F.slice(ids, before + 1, place(ends[g]) + 1 - before), ",")
 
-    def groups(ends: Column, a: Column, b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("shared") - 1), lambda g: F.concat_ws("|", listed(a, high, ends, g), listed(b, low, ends, g)))
+    def built(steps: Column) -> Column:
+        links = F.transform(steps, lambda x: a_ids[high(x)].cast("long") * b_size + b_ids[low(x)])
+        # the steps that end where both sides end close the groups: as many as shared offsets, in the same order
+        closing = F.filter(steps, lambda x: a_ends[high(x)] == b_ends[low(x)])
+        groups = lambda ends: F.transform(F.sequence(F.lit(0), F.size(shared) - 1), lambda g: F.concat_ws("|", listed(a_ids, high, ends, g), listed(b_ids, low, ends, g)))
+        return F.struct(links.alias("links"), F.array_join(_let(closing, groups), ";").alias("groups"))
+
+    return _let(_let(_marks(a_ends, b_ends), _steps), built)
+
+
+def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, links, groups (text form, in order) of every text.
+
+    tokens: as tokenized gives them; b_size: above all ids of the second side.
+    """
+
+    def text(segments: Column, t: Column) -> Column:
+        links = F.flatten(F.transform(t["places"], lambda i: segments[i]["links"]))
+        groups = F.array_join(F.transform(t["places"], lambda i: segments[i]["groups"]), ";")
+        return F.struct(t["doc_id"].alias("doc_id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), links.alias("links"), groups.alias("groups"))
 
-    text = lambda name: F.col(name).cast("array<string>")
-    listing = _let(closing, lambda ends: _let(text("a_ids"), lambda a: _let(text("b_ids"), lambda b: groups(ends, a, b))))
-    some = F.size("shared") > 0
-    return made.select("doc_id", "n_a", "n_b", F.size("shared").cast("long").alias("n_groups"), links.alias("links"), F.when(some, listing).otherwise(F.array().cast("array<string>")).alias("groups"))
+    segments = F.transform("segments", lambda s: _aligned_segment(s, b_size))
+    texts = tokens.select(F.inline(_let(segments, lambda known: F.transform("texts", lambda t: text(known, t)))))
+    # each offset where either side ends closes one link, those where both end close a group
+    return texts.select("doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"), "links", "groups")
 
 
 def pair_counts(linked: DataFrame, b_size: int) -> DataFrame:
@@ -278,7 +309,7 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
     byte_path, piece_path = byte_path or public_tokenizers.path(BYTE_LEVEL), piece_path or public_tokenizers.path(PIECES)
     b_size = SentencePieceProcessor(model_file=piece_path).get_piece_size()
     made = aligned(tokenized(docs, byte_path, piece_path), b_size)
-    digest = F.when(F.col("n_groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise(F.lit(""))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
     rows = store(made.select("doc_id", F.monotonically_increasing_id().alias("_row"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"), "links")
     counts = pair_counts(rows, b_size)
     least = _threshold(counts, HOT)
