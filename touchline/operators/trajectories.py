@@ -46,18 +46,40 @@ def asof_homography(obs: DataFrame, homographies: DataFrame) -> DataFrame:
     return filled.select(*names, *(F.col(f"_h.{e}").alias(e) for e in entries), (F.col("frame_idx") - F.col("_h.at")).alias("age"))
 
 
+def _numbered(rows: DataFrame, order: list[str], place: Column) -> DataFrame:
+    """rows with _n, their number in their match by order; place: a whole number that rises with order, BLOCK_FRAMES of which one task counts."""
+    blocked = rows.withColumn("_k", F.floor(place / BLOCK_FRAMES))
+    ahead = Window.partitionBy("video_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    sizes = blocked.groupBy("video_id", "_k").agg(F.count("*").alias("_c")).withColumn("_c", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("video_id", "_k").orderBy(*order))
+    return blocked.join(sizes, ["video_id", "_k"]).withColumn("_n", within + F.col("_c")).drop("_k", "_c")
+
+
+def carried(rows: DataFrame, value: str, order: list[str], place: Column) -> DataFrame:
+    """rows with their NULLs in value filled by the last value before them in their match, in blocks as _numbered."""
+    blocked = rows.withColumn("_k", F.floor(place / BLOCK_FRAMES))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    last = blocked.groupBy("video_id", "_k").agg(F.max_by(value, known).alias("_last"))
+    ahead = Window.partitionBy("video_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    last = last.withColumn("_last", F.last("_last", ignorenulls=True).over(ahead))
+    upto = Window.partitionBy("video_id", "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(upto), "_last")
+    return blocked.join(last, ["video_id", "_k"]).withColumn(value, filled).drop("_k", "_last")
+
+
 def rolling_calibration(refs: DataFrame, least: int = 50, rows: int = 200, block: int = BLOCK_FRAMES) -> DataFrame:
     """refs with slope and intercept of pitch_x on u and of pitch_y on v, over the last rows references of the match.
 
     refs: video_id, seq (order), u, v, pitch_x, pitch_y, none of them NULL. NULL before the least-th
     reference and where u or v do not vary. Sums over the last rows are differences of running sums,
     so a reference costs the same however many rows there are. They run in blocks of block references
-    (at least rows), each begun with the rows - 1 references before it: a match is not one task.
+    (at least rows), each begun with the rows - 1 references before it: a match is not one task. References
+    that have a column _n are numbered by it, others by seq, a whole number.
     """
     made = [f"{f}_{a}" for a in "xy" for f in ("slope", "intercept")]
     block = max(block, rows)
     home = F.floor((F.col("_n") - 1) / block)
-    numbered = refs.withColumn("_n", F.row_number().over(Window.partitionBy("video_id").orderBy("seq")))
+    numbered = refs if "_n" in refs.columns else _numbered(refs, ["seq"], F.col("seq"))
     needed = (F.col("_n") - 1) % block > block - rows
     blocked = numbered.withColumn("_b", F.explode(F.when(needed, F.array(home, home + 1)).otherwise(F.array(home))))
     order = Window.partitionBy("video_id", "_b").orderBy("_n")
@@ -79,7 +101,7 @@ def rolling_calibration(refs: DataFrame, least: int = 50, rows: int = 200, block
         slope = (n * F.col(f"_{b}{a}") - F.col(f"_{b}") * F.col(f"_{a}")) / (n * F.col(f"_{b}{b}") - F.col(f"_{b}") * F.col(f"_{b}"))
         fits[f"slope_{a}"] = F.when((F.col("_n") >= least) & varies, slope)
         fits[f"intercept_{a}"] = (F.col(f"_{a}") - fits[f"slope_{a}"] * F.col(f"_{b}")) / n
-    return last.withColumns(fits).select(*refs.columns, *made)
+    return last.withColumns(fits).select(*(c for c in refs.columns if c != "_n"), *made)
 
 
 def calibrated_positions(rows: DataFrame, least: int = 50, last: int = 200) -> DataFrame:
@@ -88,8 +110,8 @@ def calibrated_positions(rows: DataFrame, least: int = 50, last: int = 200) -> D
     fits = rolling_calibration(rows.filter(known), least, last)
     made = ["slope_x", "intercept_x", "slope_y", "intercept_y"]
     both = fits.unionByName(rows.filter(~known), allowMissingColumns=True)
-    order = Window.partitionBy("video_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in made})
+    both = both.withColumn("_fit", F.when(F.col("slope_x").isNotNull() & F.col("slope_y").isNotNull(), F.struct(*made)))
+    both = carried(both, "_fit", ["seq"], F.col("seq")).withColumns({c: F.col(f"_fit.{c}") for c in made}).drop("_fit")
     guess = lambda a, b, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(f"slope_{a}") * F.col(b) + F.col(f"intercept_{a}")))
     x = F.when(known, F.col("pitch_x")).when(F.col("slope_x").isNotNull(), guess("x", "u", 52.5))
     y = F.when(known, F.col("pitch_y")).when(F.col("slope_y").isNotNull(), guess("y", "v", 34.0))

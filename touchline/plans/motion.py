@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,20 +274,6 @@ def iou_tracker(spark: SparkSession, d: str) -> DataFrame:
     return tracking.track_boxes(_detections(spark, d))
 
 
-def ball_tracker(spark: SparkSession, d: str) -> DataFrame:
-    rows = observations(spark, d).select("video_id", "frame_idx", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), "score")
-    return tracking.track_ball(rows)
-
-
-def homography_ransac(spark: SparkSession, d: str) -> DataFrame:
-    template = spark.createDataFrame(pitch.template(), "line string, pt int, x double, y double")
-    frames = homographies(spark, d)
-    # a fixed set of 23 template points for every frame
-    points = frames.crossJoin(F.broadcast(template)).withColumn("off", F.when((F.col("frame_idx") + F.col("pt") * 7) % 11 == 0, 300.0).otherwise(0.0))
-    points = points.select("video_id", "frame_idx", (F.col("h02") + 15 * F.col("x") + F.col("off")).alias("u"), (540 - 10 * F.col("y")).alias("v"), "x", "y")
-    return tracking.smooth_homographies(tracking.frame_homographies(points))
-
-
 def _scratch(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streams; where none is set a local one, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -303,18 +288,12 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def streaming_tracker(spark: SparkSession, d: str) -> DataFrame:
-    """The box tracker fed as a stream: the detections written as files, read one by one in frame order."""
-    from touchline.streaming.tracker import run_stream
+    """The box tracker fed as a stream: the detections written once, read run by run in frame order by one query."""
+    from touchline.streaming.matches import run_in_order
+    from touchline.streaming.tracker import track_stream
 
-    base = f"{_scratch(spark)}/touchline/stream-{uuid.uuid4().hex}"
     dets = _detections(spark, d).select("video_id", "frame_idx", "det_id", "x1", "y1", "x2", "y2")
-    blocks = dets.withColumn("block", F.floor(F.col("frame_idx") / 45))
-    # a folder for a block of frames: the stream takes them one after the other, however long the matches are
-    for (block,) in blocks.select("block").distinct().orderBy("block").collect():
-        dets.filter(F.floor(F.col("frame_idx") / 45) == block).repartition("video_id").write.parquet(f"{base}/in/{block}")
-        stream = spark.readStream.schema(dets.schema).parquet(f"{base}/in/*")
-        run_stream(stream, f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    return run_in_order(dets, track_stream, _scratch(spark), 45)
 
 
 QUERIES = {
@@ -323,7 +302,7 @@ QUERIES = {
         assignment_join, asof_homography, rolling_calibration, asof_calibration, outlier_flags, gap_fill, gaussian_smooth, velocity_clamp, smooth_full, slot_velocity, trails,
         heatmap_ema, colour_memo, frame_iou_pairs, fragment_candidates, fragment_parents, fragment_components, slot_assignment, slot_frames, colour_vote, colour_gmm, role_chain, role_chain_fitted, dominance_grid, motion_plan,
         reid_similarity_topk, team_influence, dominance_share, line_heatmap, render_plan, line_bbox, line_keypoints, dataset_merge_dedupe, dataset_stats_rollup, class_distribution,
-        uncertainty_topk, stratified_select, hash_split, video_id, output_path, iou_tracker, ball_tracker, homography_ransac, streaming_tracker,
+        uncertainty_topk, stratified_select, hash_split, video_id, output_path, iou_tracker, streaming_tracker,
     )
 }
 
