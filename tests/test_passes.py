@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import filters, projection, tracking, trajectories
+from touchline.operators import datasets, filters, influence, projection, tracking, trajectories
 from touchline.plans import catalogue, motion
 from touchline.plans import projection as plan
 from touchline.sources.fixtures import observations
@@ -176,3 +176,40 @@ def test_stream_goes_on_after_a_restart(spark):
     run(30, 10_000)
     batch = projection.project_tracks(tracking.track_boxes(motion._detections(spark, SF)), plan._tries(spark, SF), track="track")
     assert rows(spark.read.parquet(f"{base}/out"), *PLACES) == rows(batch, *PLACES)
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_averaged_dominance_equals_plain_loops(spark, chunk):
+    rng = np.random.default_rng(9)
+    made = [(v, f, int(t), *map(float, rng.normal(0, (20, 15, 3, 3)))) for v in (1, 2) for f in range(0, 40, 1 + v) if f % 7 for t in rng.integers(-1, 2, 5)]
+    players = spark.createDataFrame(made, "video_id long, frame_idx long, team int, x double, y double, vx double, vy double")
+    size = {"columns": 24, "rows": 17, "scale": 48.0}
+    found = influence.averaged_dominance(players, chunk=chunk, **size).toPandas().sort_values(["video_id", "frame_idx"])
+    want = []
+    for v in (1, 2):
+        average = None
+        for f in sorted({m[1] for m in made if m[0] == v and m[2] in (0, 1)}):
+            cells = np.zeros((2, 17, 24))
+            for _, _, team, x, y, vx, vy in (m for m in made if m[:2] == (v, f) and m[2] in (0, 1)):
+                for i in range(17):
+                    for j in range(24):
+                        px, py = (j * 48 - 50) / 10 - 52.5, 34 - (i * 48 - 50) / 10
+                        s, a = min(np.hypot(vx, vy), 8), np.arctan2(vy, vx)
+                        dx, dy = px - x - 0.5 * vx, py - y - 0.5 * vy
+                        along, side = dx * np.cos(a) + dy * np.sin(a), dy * np.cos(a) - dx * np.sin(a)
+                        cells[team, i, j] += np.exp(-(along**2 / (2 * (4 + 0.5 * s) ** 2) + side**2 / (2 * (4 / (1 + 0.1 * s)) ** 2)))
+            average = cells if average is None else 0.9 * average + 0.1 * cells
+            on = np.array([[abs((j * 48 - 50) / 10 - 52.5) <= 52.5 and abs(34 - (i * 48 - 50) / 10) <= 34 for j in range(24)] for i in range(17)])
+            share = average / (average.sum(axis=0) + 1e-6)
+            want.append((v, f, share[0][on].mean(), share[1][on].mean(), int((average[0] > average[1])[on].sum())))
+    assert found[["video_id", "frame_idx", "cells_0"]].to_numpy().tolist() == [[r[0], r[1], r[4]] for r in want]
+    assert np.allclose(found[["share_0", "share_1"]].to_numpy(), [r[2:4] for r in want], atol=1e-12) and influence.averaged_dominance(players.limit(0)).count() == 0
+
+
+def test_exact_split_has_its_size(spark):
+    paths = spark.range(1003).select(F.concat(F.lit("img_"), "id").alias("path"), F.lit(1).alias("_n"))
+    for ratio in (0.0, 0.37, 0.8, 1.0):
+        one = {r["path"] for r in datasets.exact_split(paths.repartition(7), ratio).filter("split = 'train'").collect()}
+        assert len(one) == int(1003 * ratio) and one == {r["path"] for r in datasets.exact_split(paths.coalesce(1), ratio).filter("split = 'train'").collect()}
+    other = {r["path"] for r in datasets.exact_split(paths, 0.37, seed=7).filter("split = 'train'").collect()}
+    assert len(other) == 371 and datasets.exact_split(paths.limit(0), 0.5).count() == 0

@@ -70,6 +70,31 @@ def hash_split(rows: DataFrame, key: Column, ratio: float) -> DataFrame:
     return rows.withColumn("split", F.when(key < ratio, "train").otherwise("val"))
 
 
+def shuffle_key(path: Column, seed: int = 42) -> Column:
+    """60 bits that shuffle paths: the head of the md5 of seed and path."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), path)), 1, 15), 16, 10).cast("long")
+
+
+def exact_split(rows: DataFrame, ratio: float, seed: int = 42, path: str = "path") -> DataFrame:
+    """split: train for exactly int(rows * ratio) rows of a seeded shuffle, val for the others.
+
+    The order is by shuffle_key and path, so it is the same on any partitioning. Rows are counted by the
+    first 16 bits of their keys; a bucket before the border is train and one behind it val as a whole, and only
+    the bucket that holds the border is ranked. NULL paths come first; equal paths fall as they lie.
+    """
+    keyed = rows.select(F.struct("*").alias("_row"), F.col(path).alias("_path"), F.coalesce(shuffle_key(F.col(path), seed), F.lit(0)).alias("_key"))
+    keyed = keyed.withColumn("_bucket", F.shiftright("_key", 44))
+    whole = Window.partitionBy(F.lit(1))
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most 65,536 rows, one of which holds the border
+    sizes = sizes.withColumn("_ahead", F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).withColumn("_most", F.floor(F.sum("_n").over(whole) * F.lit(ratio)))
+    known = keyed.join(F.broadcast(sizes), "_bucket")
+    clear = (F.col("_ahead") + F.col("_n") <= F.col("_most")) | (F.col("_ahead") >= F.col("_most"))
+    made = known.filter(clear).withColumn("_rank", F.col("_ahead") + 1)
+    border = known.filter(~clear).withColumn("_rank", F.col("_ahead") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "_path")))
+    both = made.unionByName(border)
+    return both.withColumn("split", F.when(F.col("_rank") <= F.col("_most"), "train").otherwise("val")).select("_row.*", "split")
+
+
 def video_ids(paths: DataFrame, path: str = "path") -> DataFrame:
     """video_id: the file's stem, lower-case with underscores and cut to 20, and 8 digits of the path's md5."""
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")

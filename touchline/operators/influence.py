@@ -32,26 +32,100 @@ def influence(players: DataFrame, cell: float = 5.0) -> DataFrame:
     return rows.groupBy("video_id", "frame_idx", "team", "gx", "gy").agg(F.sum(level).alias("influence"))
 
 
+def _grid(columns: int, rows: int, scale: float, margin: float, pixels: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pitch x of the drawn grid's columns and pitch y of its rows."""
+    return (np.arange(columns) * scale - margin) / pixels - HALF_LENGTH, HALF_WIDTH - (np.arange(rows) * scale - margin) / pixels
+
+
+def _level(team: np.ndarray, across: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The influence of players (x, y, vx, vy) in every cell."""
+    total = np.zeros((len(down), len(across)))
+    for x, y, vx, vy in team:
+        speed, turn = min(np.hypot(vx, vy), 8.0), np.arctan2(vy, vx)
+        dx, dy = across[None, :] - (x + 0.5 * vx), down[:, None] - (y + 0.5 * vy)
+        ahead, aside = dx * np.cos(turn) + dy * np.sin(turn), dy * np.cos(turn) - dx * np.sin(turn)
+        total += np.exp(-0.5 * ((ahead / (4 + 0.5 * speed)) ** 2 + (aside * (1 + 0.1 * speed) / 4) ** 2))
+    return total
+
+
+#: Bands of rows that the running average of a match is carried in.
+BANDS = 13
+
+
+def averaged_dominance(players: DataFrame, keep: float = 0.9, chunk: int = 60, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
+    """video_id, frame_idx, share_0, share_1, cells_0 of the teams' averaged influence, over the cells on the pitch.
+
+    A frame's map of a team counts 1 - keep in the average, the last average keep; a match's first map is its first average.
+    Shares are taken of the averages; cells off the pitch count for neither team. Frames without a player
+    of either team are passed over.
+
+    The recursion is a linear scan in three steps, so that no task holds a match: each chunk of frames is folded from
+    zero; the folds of a match's chunks are chained, a band of rows in a task, average = keep ** frames * average +
+    fold; each chunk runs again from the average it starts with. players: as for influence.
+    """
+    place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
+    frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
+    chunks = frames.groupBy(F.col("video_id").cast("long").alias("video_id"), F.floor(F.col("frame_idx") / chunk).cast("long").alias("chunk"))
+    chunks = chunks.agg(F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("long").alias("frame_idx"), "p"))).alias("frames"))
+    across, down = _grid(columns, rows, scale, margin, pixels)
+    inside = (np.abs(down) <= HALF_WIDTH)[:, None] & (np.abs(across) <= HALF_LENGTH)[None, :]
+    bands = np.array_split(np.arange(rows), min(BANDS, rows))
+
+    def maps(listed: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
+        """(frame, the maps of both teams)."""
+        for frame in listed:
+            cells = np.array([[p["team"], p["x"], p["y"], p["vx"], p["vy"]] for p in frame["p"]])
+            yield frame["frame_idx"], np.stack([_level(cells[cells[:, 0] == team, 1:], across, down) for team in (0, 1)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                total, first = np.zeros((2, rows, columns)), None
+                for _, made in maps(row["frames"]):
+                    first = made if first is None else first
+                    total = keep * total + (1 - keep) * made
+                n = len(bands)
+                cells = [[row["video_id"]] * n, list(range(n)), [row["chunk"]] * n, [len(row["frames"])] * n, [first[:, b].tobytes() for b in bands], [total[:, b].tobytes() for b in bands]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["video_id", "band", "chunk", "n", "first", "total"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, average = None, None
+        for batch in batches:
+            starts = []
+            for row in batch.to_pylist():
+                if key != (row["video_id"], row["band"]):
+                    key, average = (row["video_id"], row["band"]), np.frombuffer(row["first"])
+                starts.append(average.tobytes())
+                average = keep ** row["n"] * average + np.frombuffer(row["total"])
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("chunk"), batch.column("band"), pa.array(starts, pa.binary())], names=["video_id", "chunk", "band", "start"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                average = np.concatenate([np.frombuffer(s["start"]).reshape(2, len(b), columns) for s, b in zip(row["starts"], bands, strict=True)], axis=1)
+                out = []
+                for frame, made in maps(row["frames"]):
+                    average = keep * average + (1 - keep) * made
+                    share = np.where(inside, average / (average.sum(axis=0) + 1e-6), 0.0).sum(axis=(1, 2)) / inside.sum()
+                    out.append((row["video_id"], frame, float(share[0]), float(share[1]), int((inside & (average[0] > average[1])).sum())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["video_id", "frame_idx", "share_0", "share_1", "cells_0"])
+
+    folded = chunks.mapInArrow(fold, "video_id bigint, band int, chunk bigint, n bigint, first binary, total binary")
+    starts = folded.repartition("video_id", "band").sortWithinPartitions("video_id", "band", "chunk").mapInArrow(chain, "video_id bigint, chunk bigint, band int, start binary")
+    starts = starts.groupBy("video_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("band", "start"))).alias("starts"))  # the two maps a chunk starts with
+    return chunks.join(starts, ["video_id", "chunk"]).mapInArrow(run, "video_id bigint, frame_idx bigint, share_0 double, share_1 double, cells_0 bigint")
+
+
 def frame_dominance(players: DataFrame, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
     """video_id, frame_idx, share_0, share_1, cells_0: the mean shares of the teams and the cells that team 0 leads, over the drawn grid.
 
     players as for influence. The grid has a cell for every scale-th pixel of the drawn pitch, margins
-    included. A row gathers the players of one frame, a roster; the map of a frame, columns * rows cells
+    included: averaged_dominance leaves them out. A row gathers the players of one frame, a roster; the map of a frame, columns * rows cells
     for each player, never leaves its task.
     """
     place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
     frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
-    across = (np.arange(columns) * scale - margin) / pixels - HALF_LENGTH
-    down = HALF_WIDTH - (np.arange(rows) * scale - margin) / pixels
-
-    def level(team: np.ndarray) -> np.ndarray:
-        total = np.zeros((rows, columns))
-        for x, y, vx, vy in team:
-            speed, turn = min(np.hypot(vx, vy), 8.0), np.arctan2(vy, vx)
-            dx, dy = across[None, :] - (x + 0.5 * vx), down[:, None] - (y + 0.5 * vy)
-            ahead, aside = dx * np.cos(turn) + dy * np.sin(turn), dy * np.cos(turn) - dx * np.sin(turn)
-            total += np.exp(-0.5 * ((ahead / (4 + 0.5 * speed)) ** 2 + (aside * (1 + 0.1 * speed) / 4) ** 2))
-        return total
+    across, down = _grid(columns, rows, scale, margin, pixels)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +134,7 @@ def frame_dominance(players: DataFrame, columns: int = 287, rows: int = 195, sca
                 flat = roster.values
                 cells = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "vx", "vy")], axis=1)
                 team = flat.field("team").to_numpy(zero_copy_only=False)
-                a, b = level(cells[team == 0]), level(cells[team == 1])
+                a, b = _level(cells[team == 0], across, down), _level(cells[team == 1], across, down)
                 total = a + b + 1e-6
                 shares.append((float((a / total).mean()), float((b / total).mean()), int((a > b).sum())))
             made = [pa.array(list(c), t) for c, t in zip(zip(*shares, strict=True), (pa.float64(), pa.float64(), pa.int64()), strict=True)] if shares else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64())]

@@ -190,6 +190,11 @@ def dominance_grid(spark: SparkSession, d: str) -> DataFrame:
     return influence.frame_dominance(_players(spark, d))
 
 
+def dominance_averaged(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the teams' running averages on every frame, over the cells of the drawn grid that are on the pitch."""
+    return influence.averaged_dominance(_players(spark, d))
+
+
 def motion_plan(spark: SparkSession, d: str) -> DataFrame:
     """Trails and arrows, counted and summed by track and kind."""
     rows = influence.motion_plan(trajectories.velocities(_dense(spark, d)))
@@ -256,6 +261,10 @@ def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return datasets.hash_split(_predictions(spark, d), (F.col("key") % 1000) / 1000.0, 0.8).select("path", "split")
 
 
+def exact_split(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.exact_split(_predictions(spark, d), 0.8).select("path", "split")
+
+
 def video_id(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/videos/"), F.col("source"), F.lit("/Match Day "), F.col("doc_id").cast("string"), F.lit(" Final Cut.mp4")).alias("path"))
     return datasets.video_ids(rows).select("doc_id", "video_id")
@@ -302,7 +311,7 @@ QUERIES = {
         assignment_join, asof_homography, rolling_calibration, asof_calibration, outlier_flags, gap_fill, gaussian_smooth, velocity_clamp, smooth_full, slot_velocity, trails,
         heatmap_ema, colour_memo, frame_iou_pairs, fragment_candidates, fragment_parents, fragment_components, slot_assignment, slot_frames, colour_vote, colour_gmm, role_chain, role_chain_fitted, dominance_grid, motion_plan,
         reid_similarity_topk, team_influence, dominance_share, line_heatmap, render_plan, line_bbox, line_keypoints, dataset_merge_dedupe, dataset_stats_rollup, class_distribution,
-        uncertainty_topk, stratified_select, hash_split, video_id, output_path, iou_tracker, streaming_tracker,
+        uncertainty_topk, stratified_select, hash_split, exact_split, dominance_averaged, video_id, output_path, iou_tracker, streaming_tracker,
     )
 }
 
@@ -472,6 +481,8 @@ ORACLES = {
     "stratified_select": f"""{CTE}, {_PRED}, b as (select *, least(n_boxes // 5, 10) as bin from pred), r as (select *, row_number() over (partition by bin order by key, path) as k, greatest(1, 30 // (select count(distinct bin) from b)) as share from b)
         select path, cast(bin as int) as bin from r order by k > share, case when k <= share then bin end, key, path limit 30""",
     "hash_split": f"{CTE}, {_PRED} select path, case when (key % 1000) / 1000.0e0 < 0.8 then 'train' else 'val' end as split from pred",
+    "exact_split": f"""{CTE}, {_PRED}, k as (select path, cast('0x' || substr(md5('42:' || path), 1, 15) as bigint) as key from pred)
+        select path, case when row_number() over (order by key, path) <= floor((select count(*) from k) * 0.8e0) then 'train' else 'val' end as split from k""",
     "video_id": f"with p as (select doc_id, '/videos/' || source || '/Match Day ' || doc_id || ' Final Cut.mp4' as path from documents) select doc_id, substr(lower(replace({_STEM}, ' ', '_')), 1, 20) || '_' || substr(md5(path), 1, 8) as video_id from p",
     "output_path": f"with p as (select doc_id, '/videos/' || source || '.v1.mp4' as path from documents) select doc_id, 'analyzed_' || {_STEM} || case when doc_id % 2 = 0 then '_' || (doc_id % 90) || 's' else '' end || '_out.avi' as output from p",
 }
