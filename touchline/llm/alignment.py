@@ -39,9 +39,9 @@ from touchline.llm.kernels import HashIndex, Words, doc_blocks
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast; segments that a task remembers; segments tokenized in one call.
-HOT, MEMO, BATCH = 1 << 18, 2_000_000, 4000
+HOT, MEMO, BATCH = 1 << 18, 700_000, 1000
 #: Bytes of text that share one table of segments.
-BLOCK = 6 << 20
+BLOCK = 5 << 20
 
 _MARK, _SIDE, _PLACE = 32, 1 << 31, (1 << 31) - 1
 _PLAIN = np.ones(256, dtype=bool)
@@ -109,24 +109,43 @@ class Aligner:
         self.index, self.bytes, self.good = HashIndex(), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids, self.start, self.size = ([np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2)
 
+    def _encoded(self, k: int, segments: list[bytes], joined: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all segments, ids of each, whether each is faithful) for one side.
+
+        joined: the segments are tokenized as one text. They are taken apart where tokens end with them; if some token
+        doesn't, or the text does not come back, each is tokenized alone.
+        """
+        side = self.sides[k]
+        if joined:
+            text = b"".join(segments)
+            ids = np.array(side.encode([text[1:].decode()])[0], np.int32)
+            ends, want = np.cumsum(self.length[k][ids], dtype=np.int64), np.cumsum([len(s) for s in segments])
+            at = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+            if (ends[at] == want).all() and side.faithful(ids.tolist(), text):
+                return ids, np.diff(at, prepend=-1), np.ones(len(segments), dtype=bool)
+        made = side.encode([s[1:].decode() for s in segments])
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum())), sizes, np.fromiter(map(side.faithful, made, segments), bool, len(made))
+
     def _learn(self, hashes: np.ndarray, segments: list[bytes]) -> None:
-        flat, sizes, good = ([], []), ([], []), np.ones(len(segments), dtype=bool)
-        for a in range(0, len(segments), BATCH):
-            some = segments[a : a + BATCH]
-            texts = [s[1:].decode() for s in some]
-            for k, side in enumerate(self.sides):
-                made = side.encode(texts)
-                good[a : a + len(some)] &= np.fromiter(map(side.faithful, made, some), bool, len(some))
-                sizes[k].append(np.fromiter(map(len, made), np.int64, len(made)))
-                flat[k].append(np.fromiter((i for ids in made for i in ids), np.int32, int(sizes[k][-1].sum())))
+        spaced = np.fromiter((s.endswith(b" ") for s in segments), bool, len(segments))  # a space would join the next one's
+        order = np.concatenate([np.flatnonzero(~spaced), np.flatnonzero(spaced)])
+        plain, good, made = int((~spaced).sum()), [], ([], [])
+        steps = [(a, min(a + BATCH, plain)) for a in range(0, plain, BATCH)] + [(a, a + BATCH) for a in range(plain, len(segments), BATCH)]
+        for a, b in steps:
+            some = [segments[i] for i in order[a:b].tolist()]
+            parts = [self._encoded(k, some, a < plain) for k in (0, 1)]
+            good.append(parts[0][2] & parts[1][2])
+            for k in (0, 1):
+                made[k].append(parts[k][:2])
         for k in (0, 1):
-            size, used = np.concatenate(sizes[k]), len(self.ids[k])
-            self.ids[k] = np.concatenate([self.ids[k], *flat[k]])
+            size, used = np.concatenate([p[1] for p in made[k]]), len(self.ids[k])
+            self.ids[k] = np.concatenate([self.ids[k], *(p[0] for p in made[k])])
             self.start[k] = np.concatenate([self.start[k], used + np.cumsum(size) - size])
             self.size[k] = np.concatenate([self.size[k], size])
-        self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, segments), np.int64, len(segments))])
-        self.good = np.concatenate([self.good, good])
-        self.index.add(hashes)
+        self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, segments), np.int64, len(segments))[order]])
+        self.good = np.concatenate([self.good, *good])
+        self.index.add(hashes[order])
 
     def _whole(self, text: bytes) -> int:
         """The number of a text that is one segment, -1 if it is unfaithful."""
@@ -245,23 +264,32 @@ def _steps(marks: Column) -> Column:
 
 
 def _aligned_segment(s: Column, b_size: int) -> Column:
-    """links (a_id * b_size + b_id of every overlapping pair) and groups (their text form) of one segment."""
+    """links (a_id * b_size + b_id of every overlapping pair) and groups (their text form) of one segment.
+
+    Sides that end at the same offsets throughout pair up token by token, and one token overlaps all of the other
+    side's; these two cases need no marks.
+    """
     high, low = lambda x: F.shiftright(x, _MARK).cast("int"), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
     a_ids, b_ids, a_ends, b_ends = (s[name] for name in ("a_ids", "b_ids", "a_ends", "b_ends"))
-    shared = F.array_intersect(a_ends, b_ends)
+    made = lambda links, groups: F.struct(links.alias("links"), groups.alias("groups"))
+    link = lambda a, b: a.cast("long") * b_size + b
 
     def listed(ids: Column, place: Callable[[Column], Column], ends: Column, g: Column) -> Column:
         before = F.when(g > 0, place(ends[g - 1]) + 1).otherwise(F.lit(0))
         return F.array_join(F.slice(ids, before + 1, place(ends[g]) + 1 - before), ",")
 
     def built(steps: Column) -> Column:
-        links = F.transform(steps, lambda x: a_ids[high(x)].cast("long") * b_size + b_ids[low(x)])
+        links = F.transform(steps, lambda x: link(a_ids[high(x)], b_ids[low(x)]))
         # the steps that end where both sides end close the groups: as many as shared offsets, in the same order
         closing = F.filter(steps, lambda x: a_ends[high(x)] == b_ends[low(x)])
+        shared = F.array_intersect(a_ends, b_ends)
         groups = lambda ends: F.transform(F.sequence(F.lit(0), F.size(shared) - 1), lambda g: F.concat_ws("|", listed(a_ids, high, ends, g), listed(b_ids, low, ends, g)))
-        return F.struct(links.alias("links"), F.array_join(_let(closing, groups), ";").alias("groups"))
+        return made(links, F.array_join(_let(closing, groups), ";"))
 
-    return _let(_let(_marks(a_ends, b_ends), _steps), built)
+    pairs = made(F.transform(a_ids, lambda a, i: link(a, b_ids[i])), F.array_join(F.transform(a_ids, lambda a, i: F.concat(a.cast("string"), F.lit("|"), b_ids[i].cast("string"))), ";"))
+    whole = F.concat_ws("|", F.array_join(a_ids, ","), F.array_join(b_ids, ","))
+    fan = F.when(F.size(a_ids) == 1, F.transform(b_ids, lambda b: link(a_ids[0], b))).otherwise(F.transform(a_ids, lambda a: link(a, b_ids[0])))
+    return F.when(a_ends == b_ends, pairs).when((F.size(a_ids) == 1) | (F.size(b_ids) == 1), made(fan, whole)).otherwise(_let(_let(_marks(a_ends, b_ends), _steps), built))
 
 
 def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
