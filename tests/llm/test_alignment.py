@@ -96,7 +96,7 @@ def test_small_memo_and_blocks_change_nothing(spark, monkeypatch):
     want = sorted(tuple(r) for r in alignment.aligned(alignment.tokenized(docs, *PATHS), size).collect())
     monkeypatch.setattr(alignment, "MEMO", 3)
     monkeypatch.setattr(alignment, "BLOCK", 10)
-    monkeypatch.setattr("touchline.llm.kernels.BLOCK_BYTES", 10)
+    monkeypatch.setattr(alignment, "STEP", 10)
     assert sorted(tuple(r) for r in alignment.aligned(alignment.tokenized(docs, *PATHS), size).collect()) == want
 
 

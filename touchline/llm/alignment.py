@@ -39,9 +39,9 @@ from touchline.llm.kernels import HashIndex, Words, doc_blocks
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast; segments that a task remembers; segments tokenized in one call.
-HOT, MEMO, BATCH = 1 << 18, 700_000, 1000
-#: Bytes of text that share one table of segments.
-BLOCK = 5 << 20
+HOT, MEMO, BATCH = 1 << 18, 350_000, 1000
+#: Bytes of text that are tokenized at once, and that share one table of segments.
+STEP, BLOCK = 1 << 19, 5 << 20
 
 _MARK, _SIDE, _PLACE = 32, 1 << 31, (1 << 31) - 1
 _PLAIN = np.ones(256, dtype=bool)
@@ -70,9 +70,8 @@ class ByteLevel(_Side):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        made = json.loads(tokenizer.to_str())
-        split = made["pre_tokenizer"] or {}
-        if made["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        split = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+        if tokenizer.normalizer or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
             raise ValueError(f"{path} is no byte-level tokenizer whose pieces begin at single spaces")
         # the usual byte alphabet: printable Latin-1 signs stand for themselves, the others for the code points from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -224,7 +223,7 @@ def tokenized(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         if paths not in _ALIGNERS:
             _ALIGNERS[paths] = Aligner(*paths)
         aligner, held, size = _ALIGNERS[paths], [], 0
-        for rows, data, offsets in doc_blocks(batches):
+        for rows, data, offsets in doc_blocks(batches, most=STEP):
             if held and (size + len(data) > BLOCK or aligner.full()):
                 yield aligner.table(held)
                 held, size = [], 0
