@@ -20,16 +20,14 @@ def middle(count):
     return (top / 2 + top - 1) / 2 if count else 0.0
 
 
-def brute_force(train, texts, head):
-    """id -> score by the docstring's formula; counts of words outside the head and of bigrams are quantised."""
+def brute_force(train, texts):
+    """id -> score by the docstring's formula; all counts are quantised."""
     ones, twos = collections.Counter(), collections.Counter()
     for t in map(tokens, train):
         ones.update(t)
         twos.update(zip([None, *t], t, strict=False))
     n, v = sum(ones.values()), len(ones)
-    ranked = sorted(ones.values(), reverse=True)
-    cut = ranked[head] if len(ranked) > head else 0  # whole levels of counts are in the head or out of it
-    count = lambda w: ones[w] if w is None or ones[w] > cut else middle(ones[w])
+    count = lambda w: middle(ones[w])
     out = {}
     for i, text in texts.items():
         out[i] = 0.0
@@ -49,7 +47,7 @@ def test_scores(spark, monkeypatch, head, segment, most):
     texts |= {200: None, 201: "  ", 202: texts[3]}
     docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in texts.items()], "doc_id bigint, text string, held_out boolean")
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs.withColumns({"row": F.lit(1), "score": F.lit("x"), "rest": F.lit(2)})).collect()}
-    want = brute_force([t for i, t in texts.items() if i % 5], texts, head)
+    want = brute_force([t for i, t in texts.items() if i % 5], texts)
     assert got.keys() == want.keys()
     close = [abs(got[i] - want[i]) <= 0.02 * abs(want[i]) + 1e-9 for i in want]
     assert sum(close) >= 0.97 * len(close)
@@ -61,3 +59,15 @@ def test_end_token_is_known_with_a_small_head(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(200)), False)], "doc_id bigint, text string, held_out boolean")
     r = lm.score_documents(docs).first()
     assert r["n_known"] == 201 and r["base_score"] == pytest.approx(201 * math.log10(2 / (201 + 201 + 1)))
+
+
+def test_size_of_the_head_shows_in_no_score(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ENTRY_BITS", 64)  # so that the filter has no false hits
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(60)), i % 4 == 0) for i in range(80)]
+    docs, found = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean"), []
+    for head in (1 << 19, 50, 0):
+        monkeypatch.setattr(lm, "HEAD", head)
+        found.append({r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()})
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-9)

@@ -10,7 +10,7 @@ Test phrases reach the executors in blocks of items with about ITEM_WORDS words
 the documents for each block, so what is broadcast has a bound whatever the benchmark's size.
 
 Defined results: NULL and empty texts have no words and no hits; an item without words is no
-item; repeated items count each; repeated documents are judged one by one; an empty benchmark hits
+item; an item id counts once, however many rows have it; repeated documents are judged one by one; an empty benchmark hits
 nothing and an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -231,7 +231,7 @@ def _scan(rows: DataFrame, phrases: PhraseSet, last: bool) -> DataFrame:
             named = [sorted(i) for i in items]
             if "items" in part.schema.names:
                 had = {c: part.column(c).to_pylist() for c in ("items", "span_from", "span_to")}
-                named = [sorted(i + j) for i, j in zip(named, had["items"], strict=True)]
+                named = [sorted({*i, *j}) for i, j in zip(named, had["items"], strict=True)]  # an id counts once, in however many blocks it is
                 at = np.concatenate([at, *(np.array(x, np.int64) + f for x, f in zip(had["span_from"], first, strict=False))])
                 to = np.concatenate([to, *(np.array(x, np.int64) + f for x, f in zip(had["span_to"], first, strict=False))])
             cover = np.zeros(len(words.hashes) + 1, np.int64)

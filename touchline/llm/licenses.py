@@ -8,7 +8,7 @@ band; a window holding the whole of a one-shingle template agrees with it in a b
 share of the template's shingles that the whole text holds then decides: CONTAINMENT or more is a match.
 
 Only texts with an anchor are cut into windows. A template's anchors are words that more than a
-fifth of its shingles hold, so a text without any cannot hold four fifths of the shingles.
+fifth of its distinct shingles hold, so a text without any cannot hold four fifths of the shingles.
 
 Only DataFrame expressions touch the documents and templates. A band's key leads to a template's
 number; its shingles are joined once text and template are known to meet.
@@ -59,12 +59,12 @@ def _windows(hashes: Column, step: int) -> Column:
 
 
 def anchors(texts: Iterable[str]) -> list[str]:
-    """Words such that of every template more than a fifth of the shingles hold one: long ones that many templates share first."""
+    """Words such that of every template more than a fifth of the distinct shingles hold one: long ones that many templates share first."""
     words = [re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).split() for text in texts]
     shared = Counter(w for many in words for w in set(many))
     chosen: set[str] = set()
     for many in words:
-        runs = [many[k : k + SHINGLE] for k in range(max(1, len(many) - SHINGLE + 1))]
+        runs = {tuple(many[k : k + SHINGLE]) for k in range(max(1, len(many) - SHINGLE + 1))}  # distinct ones, as containment counts them
         for word in sorted(set(many), key=lambda w: (-min(len(w), 7), -shared[w], -len(w), w)):
             if 5 * sum(any(w in chosen for w in run) for run in runs) > len(runs):
                 break

@@ -4,8 +4,9 @@ A bigram model over all words and an end token, keyed by 64-bit hashes. Training
 whole: every bigram with its count is in the filter, as the entries (bigram, 1) .. (bigram,
 level), level = 1 + floor(log2 count), and so is every word outside the head. Scoring probes levels
 until one is missing, which gives the quantised count back; a false hit needs all PROBES bits by
-chance. The head is a cache of fixed size: the exact counts of the most frequent words.
-With c the counts, p(w) = (c(w) + 1) / (N + V + 1) and
+chance. The head is a cache of fixed size: the exact counts of the most frequent words, which the base
+score takes as they are and the score quantised, so its size shows in no score.
+With c the quantised counts, p(w) = (c(w) + 1) / (N + V + 1) and
 p(w | v) = (min(max(c(v w) - DISCOUNT, 0), c(v)) + MU p(w)) / (c(v) + MU).
 
 The filter is made of segments, one for a range of hashes, each built by one task from packed,
@@ -272,7 +273,8 @@ def _score(rows: DataFrame, sent_head: Broadcast, sent_words: Broadcast | None,
                 rare += np.maximum(sent_words.value.look(token[lost]), 0)
             total = np.zeros(n)
             if sent_grams is not None:
-                count = exact.copy()
+                # the score takes every count as the filter would hold it, wherever it was looked up
+                count = _estimate(np.where(exact > 0, _levels(np.maximum(exact, 1)), 0))
                 count[lost] = _estimate(rare)
                 context_ = np.empty_like(count)
                 context_[1:] = count[:-1]
