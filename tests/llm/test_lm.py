@@ -62,7 +62,6 @@ def test_end_token_is_known_with_a_small_head(spark, monkeypatch):
 
 
 def test_size_of_the_head_shows_in_no_score(spark, monkeypatch):
-    monkeypatch.setattr(lm, "ENTRY_BITS", 64)  # so that the filter has no false hits
     draw = random.Random(4)
     rows = [(i, " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(60)), i % 4 == 0) for i in range(80)]
     docs, found = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean"), []
@@ -70,4 +69,12 @@ def test_size_of_the_head_shows_in_no_score(spark, monkeypatch):
         monkeypatch.setattr(lm, "HEAD", head)
         found.append({r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()})
     for other in found[1:]:
-        assert other == pytest.approx(found[0], rel=1e-9)
+        assert other == pytest.approx(found[0], rel=1e-2)  # false hits of words outside the head remain
+
+
+def test_counts_of_the_head_are_quantised():
+    """What the score takes for a count is a function of its level alone, as the filter holds it."""
+    import numpy as np
+
+    counts = np.array([1, 2, 3, 4, 7, 8, 1000, 1023])
+    assert lm._estimate(lm._levels(counts)).tolist() == [middle(int(c)) for c in counts]
