@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from touchline.llm import alignment
@@ -16,9 +17,19 @@ TEXTS = [
 ]
 
 
+class ByFile(alignment.ByteLevel):
+    """The first side by the tokenizers library."""
+
+    def __init__(self, path):
+        super().__init__(path)
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.encode = lambda texts: [tokenizer.encode(f" {t}", add_special_tokens=False).ids for t in texts]
+
+
 def plain(texts):
     """(n_a, n_b, n_groups, n_links, n_best, count_sum, digest) of every text, both tokenizers on whole texts."""
-    one, two = alignment.ByteLevel(public_tokenizers.path(alignment.BYTE_LEVEL)), alignment.Pieces(public_tokenizers.path(alignment.PIECES))
+    one, two = ByFile(public_tokenizers.path(alignment.BYTE_LEVEL)), alignment.Pieces(public_tokenizers.path(alignment.PIECES))
     made, count = [], collections.Counter()
     for text in texts:
         full = b" " + (text or "").encode()

@@ -61,17 +61,6 @@ def test_end_token_is_known_with_a_small_head(spark, monkeypatch):
     assert r["n_known"] == 201 and r["base_score"] == pytest.approx(201 * math.log10(2 / (201 + 201 + 1)))
 
 
-def test_size_of_the_head_shows_in_no_score(spark, monkeypatch):
-    draw = random.Random(4)
-    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(60)), i % 4 == 0) for i in range(80)]
-    docs, found = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean"), []
-    for head in (1 << 19, 50, 0):
-        monkeypatch.setattr(lm, "HEAD", head)
-        found.append({r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()})
-    for other in found[1:]:
-        assert other == pytest.approx(found[0], rel=1e-2)  # false hits of words outside the head remain
-
-
 def test_counts_of_the_head_are_quantised():
     """What the score takes for a count is a function of its level alone, as the filter holds it."""
     import numpy as np
