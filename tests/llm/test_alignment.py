@@ -24,6 +24,7 @@ class ByFile(alignment.ByteLevel):
         super().__init__(path)
         tokenizer = tokenizers.Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        self.faithful = lambda ids, text: b"".join(self.token[i] for i in ids) == text
         self.encode = lambda texts: [tokenizer.encode(f" {t}", add_special_tokens=False).ids for t in texts]
 
 
