@@ -10,7 +10,7 @@ from touchline.plans import catalogue
 
 SF = os.environ.get("TOUCHLINE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-SLOW = {"colour_gmm", "streaming_tracker", "projection_stream", "ball_stream", "ball_tracker", "homography_ransac", "dominance_averaged"}  # tests/test_passes.py has the last four
+SLOW = {"colour_gmm", "streaming_tracker", "projection_stream", "ball_stream", "ball_tracker", "homography_ransac", "dominance_averaged"}  # tests/test_mixture.py has the first, tests/test_passes.py the last four
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
