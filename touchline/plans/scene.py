@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from touchline.functions import pitch
 from touchline.functions.geometry import r6
 from touchline.operators import calibration, colours, detections, fragments, trajectories
 from touchline.plans import motion, tracking
+from touchline.sources import exports, readers
 from touchline.sources.fixtures import CTE, homographies, observations, table
 
 
@@ -100,6 +103,15 @@ def yolo_to_coco(spark: SparkSession, d: str) -> DataFrame:
     return out.select("split", "image_id", "annotation_id", F.col("class_id").alias("category_id"), (F.col("cx") - F.col("w") / 2).alias("left"), (F.col("cy") - F.col("h") / 2).alias("top"), "w", "h")
 
 
+def coco_files(spark: SparkSession, d: str) -> DataFrame:
+    """coco_export by way of its files: a document for each match, written in one commit and read back."""
+    label = F.when(F.col("event_id") % 3 == 0, "player").when(F.col("event_id") % 3 == 1, "referee").otherwise("other")
+    folder = f"{motion._scratch(spark)}/touchline/coco-{uuid.uuid4().hex}"
+    exports.export_coco(observations(spark, d).withColumn("label", label), folder, tracking.LABELS)
+    rows = readers.read_coco(spark, folder).select(F.col("file").cast("bigint").alias("video_id"), "image_id", "annotation_id", "category_id", "left", "top", "width", "height", "area")
+    return rows.withColumns({c: r6(F.col(c)) for c in ("left", "top", "width", "height", "area")})
+
+
 def colour_features(spark: SparkSession, d: str) -> DataFrame:
     """Jersey colours of crops painted from the embeddings."""
     shade = F.transform(F.sequence(F.lit(0), F.lit(30 * 12 * 3 - 1)), lambda k: F.char((F.pmod(F.floor(F.col("embedding")[(k % 64).cast("int")] * 1000) + k, F.lit(128))).cast("int")))
@@ -119,7 +131,7 @@ def match_analysis(spark: SparkSession, d: str) -> DataFrame:
     return motion._xy(moving, "vx", "vy").select("video_id", F.col("track_id").alias("slot_key"), "frame_idx", "x", "y", "vx", "vy")
 
 
-QUERIES = {f.__name__: f for f in (softmax_filter, detection_labels, player_labels, box_suppression, target_boxes, frame_samples, video_table, function_timings, correspondences, pitch_overlay, line_projection, point_heatmap, background_channel, slot_positions, yolo_to_coco, colour_features, match_analysis)}
+QUERIES = {f.__name__: f for f in (softmax_filter, detection_labels, player_labels, box_suppression, target_boxes, frame_samples, video_table, function_timings, correspondences, pitch_overlay, line_projection, point_heatmap, background_channel, slot_positions, yolo_to_coco, coco_files, colour_features, match_analysis)}
 
 _TEMPLATE = "tpl(class_idx, pt_idx, x, y) as (values " + ", ".join(f"({pitch.LINE_CLASSES.index(n)}, {k}, {x!r}::double, {y!r}::double)" for n, k, x, y in pitch.template()) + ")"
 _KP = "kp as (select l_orderkey as frame_id, l_partkey % 28 as class_idx, l_suppkey % 3 as pt_idx, l_discount::double * 11 as kx, l_tax::double * 12.5 as ky, (l_quantity / 50)::double as visibility from lineitem)"
@@ -136,6 +148,7 @@ def _pixel(end: str, row: int) -> str:
 
 
 ORACLES = {
+    "coco_files": tracking.ORACLES["coco_export"],
     "softmax_filter": """with l as (select vec_id, list_transform(embedding[1:4], lambda v: v::double * 8) as v from embeddings),
         s as (select vec_id, list_position(v, list_max(v)) - 1 as class_id, 1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) as score from l)
         select vec_id, class_id, round(score, 6) + 0.0 as score from s where score > 0.4""",

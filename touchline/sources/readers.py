@@ -16,6 +16,10 @@ DATASET_INFO = (
     "name STRING, version STRING, format STRING, num_images INT, num_annotations INT, class_distribution MAP<STRING,INT>, "
     "train_split DOUBLE, created_at STRING, updated_at STRING, source_videos ARRAY<STRING>, metadata MAP<STRING,STRING>"
 )
+COCO = (
+    "images ARRAY<STRUCT<id: BIGINT, file_name: STRING>>, "
+    "annotations ARRAY<STRUCT<id: BIGINT, image_id: BIGINT, category_id: BIGINT, bbox: ARRAY<DOUBLE>, area: DOUBLE>>"
+)
 CALIBRATION = "MAP<STRING, ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
 IMAGE = "_id BIGINT, _name STRING, box ARRAY<STRUCT<_label: STRING, _xtl: DOUBLE, _ytl: DOUBLE, _xbr: DOUBLE, _ybr: DOUBLE, _occluded: STRING, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"
 
@@ -113,6 +117,19 @@ def read_yolo(spark: SparkSession, folder: str) -> DataFrame:
     return parse_yolo(lines.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("split"), F.regexp_extract(path, r"([^/]+)\.txt$", 1).alias("image"), "value"))
 
 
+def read_coco(spark: SparkSession, folder: str) -> DataFrame:
+    """file (name without its ending), frame, image_id, annotation_id, category_id, left, top, width, height, area of the annotations of <folder>/<file>.json.
+
+    A file is one document, so one task reads it. Annotations whose image is missing have no frame.
+    """
+    found = spark.read.schema(COCO).option("multiLine", True).json(f"{folder}/*.json")
+    named = found.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("file"), "images", F.explode("annotations").alias("a"))
+    images = F.map_from_arrays("images.id", "images.file_name")
+    frame = F.regexp_extract(F.try_element_at(images, F.col("a.image_id")), r"(\d+)\.[^.]*$", 1).try_cast("bigint")
+    box = [F.get("a.bbox", F.lit(k)).alias(n) for k, n in enumerate(("left", "top", "width", "height"))]
+    return named.select("file", frame.alias("frame"), "a.image_id", F.col("a.id").alias("annotation_id"), "a.category_id", *box, "a.area")
+
+
 def write_yolo(labels: DataFrame, folder: str) -> None:
     """labels: split, frame_key, lines; a folder for each split and frame."""
     labels.select("split", "frame_key", F.col("lines").alias("value")).write.partitionBy("split", "frame_key").text(folder)
