@@ -9,6 +9,7 @@ meet. Commit is one rename of the whole folder (a copy where the file system has
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -113,9 +114,22 @@ class TextFilesWriter(DataSourceWriter):
         system.move(root, target)
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Deletes the staging folder, again where a task that is being stopped still wrote to it."""
         system, root = _system(self.staging)
-        if system.get_file_info(root).type == fs.FileType.Directory:
-            system.delete_dir(root)
+        clear = 0
+        for _ in range(50):
+            try:
+                if system.get_file_info(root).type == fs.FileType.NotFound:
+                    clear += 1
+                else:
+                    clear = 0
+                    system.delete_dir(root)
+            except OSError:
+                clear = 0
+            if clear == 3:
+                return
+            time.sleep(0.1)
+        raise OSError(f"{self.staging} is still written to")
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
