@@ -21,18 +21,18 @@ def plain(text):
     return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")).split()
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = plain(text)
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set()
 
 
 def check_licenses(spark, texts, templates):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumns({"key": F.lit(1), "_row": F.lit(2), "template": F.lit(3)})
-    wanted = [(n, s) for n, t in templates if (s := shingles(t))]
+    wanted = [(n, size, s) for n, t in templates if (s := shingles(t, size := min(5, max(1, len(plain(t))))))]
     got = {r["doc_id"]: (r["licenses"], r["containment"]) for r in licenses.scan(docs, licenses.template_table(spark, templates)).collect()}
     for i, text in texts.items():
-        have = shingles(text)
-        share = [(len(have & s) / len(s), n) for n, s in wanted]
+        have = {k: shingles(text, k) for k in range(1, 6)}
+        share = [(len(have[size] & s) / len(s), n) for n, size, s in wanted]
         ok = [x for x in share if x[0] >= 0.8]
         assert got[i] == (sorted({n for _, n in ok}), max((x for x, _ in ok), default=0.0)), i
     return got
@@ -61,6 +61,21 @@ def test_a_thousand_templates(spark):
     assert all(got[k][0] == [f"L{37 * k}"] for k in range(10)) and got[99][0] == []
 
 
+def test_short_templates(spark):
+    draw = random.Random(5)
+    templates = [("one", "Copyleft"), ("two", "MIT licensed"), ("three", "All rights reserved."), ("four", "SPDX-License-Identifier: MIT"), ("five", "Licensed under the MIT License"), ("again", "reserved reserved reserved reserved")]
+    speech = ["all", "rights", "mit", "the", "licensed", "under", "license", "identifier", "spdx", "reserved", "word", "copyleft"]
+    texts = {k: " ".join(draw.choices(speech, k=draw.randrange(1, 60))) for k in range(150)}
+    for k, (_, t) in enumerate(templates):
+        texts[1000 + k] = t
+        texts[2000 + k] = f"// {t}"
+        texts[3000 + k] = " ".join([*draw.choices(["w1", "w2"], k=40), t, *draw.choices(["w3", "w4"], k=40)])
+        texts[4000 + k] = t.rpartition(" ")[0] + " but not"
+    texts |= {-1: None, -2: "", -3: "ALL  RIGHTS\nRESERVED", -4: "overall rights reserved", -5: "all rights"}
+    got = check_licenses(spark, texts, templates)
+    assert got[-3][0] == ["three"] and got[-4][0] == got[-5][0] == [] and got[2003][0] == ["four"] and got[3002][0] == ["three"]
+
+
 def test_phrases_of_items_in_few_bytes():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 60_000, 200_000)

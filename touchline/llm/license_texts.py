@@ -1,6 +1,6 @@
 """Public license texts and notices, stated as they are used: fixed values.
 
-(name, text). Notices need five words or more to be told from common speech.
+(name, text). Notices of two to four words are those that name a license in so many words.
 """
 
 TEMPLATES = [
@@ -44,4 +44,23 @@ TEMPLATES = [
     ("WTFPL", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License"),
     ("proprietary", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
     ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential"),
+    ("proprietary", "All rights reserved"),
+    ("MIT", "The MIT License"),
+    ("MIT", "MIT License applies"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
 ]
