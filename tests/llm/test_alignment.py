@@ -112,5 +112,15 @@ def test_small_memo_and_blocks_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in alignment.aligned(alignment.tokenized(docs, *PATHS), size).collect()) == want
 
 
+@pytest.mark.parametrize("hot", [alignment.HOT, 20])
+def test_small_blocks_give_the_same_sums(spark, monkeypatch, hot):
+    monkeypatch.setattr(alignment, "HOT", hot)
+    for name in ("STEP", "BLOCK"):
+        monkeypatch.setattr(alignment, name, 10)
+    docs = spark.createDataFrame(list(enumerate(TEXTS * 2)), "doc_id int, text string").repartition(3)
+    found = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs).collect()}
+    assert [found[k] for k in range(2 * len(TEXTS))] == plain(TEXTS * 2)
+
+
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -9,7 +9,8 @@ pair of overlapping tokens, so links are as many as distinct ends, and no pair i
 Counts of id pairs are an aggregate over all links; sums by text read them back.
 
 The pairs' counts come to the links in two ways: the most frequent pairs, at most HOT of them (under 5 MB), are
-broadcast; links of all other pairs are shuffled to their counts. No pair is left out.
+broadcast; links of all other pairs are shuffled to their counts. No pair is left out. A segment's links count as
+often as its block's texts hold the segment, and their sums are made once a segment: a text adds up its segments' sums.
 
 Tokenizers give a segment (a space and what follows up to the next single space) the same ids wherever it stands, and
 both end there. So tokenizing gives blocks of about BLOCK bytes of texts (a longer text is a block of its own): the tokens of each
@@ -218,7 +219,8 @@ class Aligner:
             at = pa.array(first, pa.int32())
             lists += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))]
             totals.append(np.bincount(doc, weights=self.size[k][known], minlength=len(each)).astype(np.int64))
-        segments = pa.StructArray.from_arrays(lists, names=["a_ids", "a_ends", "b_ids", "b_ends"])
+        times = pa.array(np.bincount(place, minlength=len(once)), pa.int64())
+        segments = pa.StructArray.from_arrays([*lists, times], names=["a_ids", "a_ends", "b_ids", "b_ends", "times"])
         places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(place, pa.int32()))
         texts = pa.StructArray.from_arrays([pa.array([i for h in held for i in h[0]], pa.int64()), *(pa.array(t) for t in totals), places], names=["doc_id", "n_a", "n_b", "places"])
         row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -226,7 +228,7 @@ class Aligner:
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
-TOKENS = "segments array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>, texts array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,places:array<int>>>"
+TOKENS = "segments array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>,times:bigint>>, texts array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,places:array<int>>>"
 
 
 def tokenized(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -322,9 +324,33 @@ def aligned(tokens: DataFrame, b_size: int) -> DataFrame:
     return texts.select("doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"), "links", "groups")
 
 
-def pair_counts(linked: DataFrame, b_size: int) -> DataFrame:
+def aligned_blocks(tokens: DataFrame, b_size: int) -> DataFrame:
+    """block and either place, times, links of a distinct segment, or doc_id, n_a, n_b, groups_sha256, places of a text.
+
+    tokens: as tokenized gives them; b_size: above all ids of the second side. Places count a block's segments from 0,
+    times says how often its texts hold one.
+    """
+
+    def row(**columns: Column) -> Column:
+        types = {"place": "int", "times": "long", "links": "array<bigint>", "doc_id": "long", "n_a": "long", "n_b": "long", "groups_sha256": "string", "places": "array<int>"}
+        return F.struct(*(columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types.items()))
+
+    def text(known: Column, t: Column) -> Column:
+        groups = F.array_join(F.transform(t["places"], lambda i: known[i]["groups"]), ";")
+        digest = F.when(F.size(t["places"]) > 0, F.sha2(groups, 256)).otherwise(F.lit(""))
+        return row(doc_id=t["doc_id"], n_a=t["n_a"], n_b=t["n_b"], groups_sha256=digest, places=t["places"])
+
+    def rows(known: Column) -> Column:
+        return F.concat(F.transform(known, lambda s, i: row(place=i, times=F.col("segments")[i]["times"], links=s["links"])), F.transform("texts", lambda t: text(known, t)))
+
+    segments = F.transform("segments", lambda s: _aligned_segment(s, b_size))
+    return tokens.withColumn("block", F.monotonically_increasing_id()).select("block", F.inline(_let(segments, rows)))
+
+
+def pair_counts(segments: DataFrame, b_size: int) -> DataFrame:
     """pair, n (links in all texts), best (whether no pair of its second id has more)."""
-    counted = store(linked.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
+    each = segments.select("times", F.explode("links").alias("pair"))
+    counted = store(each.groupBy("pair").agg(F.sum("times").alias("n")), "pairs")
     top = counted.groupBy((F.col("pair") % b_size).alias("b")).agg(F.max("n").alias("top"))
     return store(counted.withColumn("b", F.col("pair") % b_size).join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best")), "pair-counts")
 
@@ -349,19 +375,27 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
 
     byte_path, piece_path = byte_path or public_tokenizers.path(BYTE_LEVEL), piece_path or public_tokenizers.path(PIECES)
     b_size = SentencePieceProcessor(model_file=piece_path).get_piece_size()
-    made = aligned(tokenized(docs, byte_path, piece_path), b_size)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    rows = store(made.select("doc_id", F.monotonically_increasing_id().alias("_row"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"), "links")
-    counts = pair_counts(rows, b_size)
+    rows = store(aligned_blocks(tokenized(docs, byte_path, piece_path), b_size), "aligned")
+    segments, texts = rows.filter(F.col("place").isNotNull()), rows.filter(F.col("place").isNull())
+    counts = pair_counts(segments, b_size)
     least = _threshold(counts, HOT)
     hot, cold = F.broadcast(counts.filter(F.col("n") >= least)), counts.filter(F.col("n") < least)  # at most HOT rows
-    each = rows.select("_row", F.explode("links").alias("pair"))
-    near = each.join(hot, "pair").select("_row", "n", "best")
-    far = each.join(hot.select("pair"), "pair", "left_anti").join(cold, "pair").select("_row", "n", "best")
-    sums = near.unionByName(far).groupBy("_row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    out = rows.withColumn("n_links", F.size("links").cast("long")).drop("links").join(sums, "_row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    each = segments.select("block", "place", F.explode("links").alias("pair"))
+    near = each.join(hot, "pair").select("block", "place", "n", "best")
+    far = each.join(hot.select("pair"), "pair", "left_anti").join(cold, "pair").select("block", "place", "n", "best")
+    sums = near.unionByName(far).groupBy("block", "place").agg(F.count("*").alias("links"), F.sum("best").alias("best"), F.sum("n").alias("n"))
+    # every segment has a link, so the sorted list has the segment of place i as its i-th
+    sums = sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "links", "best", "n"))).alias("sums"))
+    held = texts.groupBy("block").agg(F.collect_list(F.struct("doc_id", "n_a", "n_b", "groups_sha256", "places")).alias("texts"))
+
+    def text(sums: Column, t: Column) -> Column:
+        total = lambda c: F.aggregate(t["places"], F.lit(0).cast("long"), lambda sum_, i: sum_ + sums[i][c])
+        return F.struct(*(t[c].alias(c) for c in ("doc_id", "n_a", "n_b", "groups_sha256")), total("links").alias("n_links"), total("best").alias("n_best"), total("n").alias("count_sum"))
+
+    # blocks of texts without tokens alone have no sums
+    out = held.join(sums, "block", "left").select(F.inline(F.transform("texts", lambda t: text(F.col("sums"), t))))
+    # each offset where either side ends closes one link, those where both end close a group
+    return out.select("doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.col("n_links")).alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
