@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.plans import motion, projection, scene, tracking
+from touchline.plans import crops, motion, projection, scene, tracking
 
-QUERIES = {**tracking.QUERIES, **motion.QUERIES, **scene.QUERIES, **projection.QUERIES}
-ORACLES = {**tracking.ORACLES, **motion.ORACLES, **scene.ORACLES, **projection.ORACLES}
+QUERIES = {**tracking.QUERIES, **motion.QUERIES, **scene.QUERIES, **projection.QUERIES, **crops.QUERIES}
+ORACLES = {**tracking.ORACLES, **motion.ORACLES, **scene.ORACLES, **projection.ORACLES, **crops.ORACLES}
