@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,13 +306,29 @@ def streaming_tracker(spark: SparkSession, d: str) -> DataFrame:
     return run_in_order(dets, track_stream, _scratch(spark), 45)
 
 
+def sequence_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes by way of ground truth files, a sequence for each minute of a match, read as one stream."""
+    from touchline.sources.exports import write_files
+    from touchline.streaming.sequences import read_sequences
+
+    base = f"{_scratch(spark)}/touchline/sequences-{uuid.uuid4().hex}"
+    cells = ["frame_idx", "track_id", "x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "score"]
+    name = F.format_string("%d_%06d/gt/gt.txt", F.col("video_id").cast("long"), F.floor(F.col("frame_idx") / 1500))
+    lines = observations(spark, d).select(name.alias("name"), "frame_idx", "track_id", F.concat(F.concat_ws(",", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cells)), F.lit("\n")).alias("body"), F.lit("boxes").alias("kind"))
+    write_files(lines.repartition("name").sortWithinPartitions("name", "frame_idx", "track_id"), f"{base}/in")
+    query = read_sequences(spark, f"{base}/in").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select("seq_name", F.col("frame").cast("long").alias("frame"), F.col("track_id").cast("long").alias("track_id"), *(F.round(c, 4).alias(c) for c in "xywh"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         assignment_join, asof_homography, rolling_calibration, asof_calibration, outlier_flags, gap_fill, gaussian_smooth, velocity_clamp, smooth_full, slot_velocity, trails,
         heatmap_ema, colour_memo, frame_iou_pairs, fragment_candidates, fragment_parents, fragment_components, slot_assignment, slot_frames, colour_vote, colour_gmm, role_chain, role_chain_fitted, dominance_grid, motion_plan,
         reid_similarity_topk, team_influence, dominance_share, line_heatmap, render_plan, line_bbox, line_keypoints, dataset_merge_dedupe, dataset_stats_rollup, class_distribution,
-        uncertainty_topk, stratified_select, hash_split, exact_split, dominance_averaged, video_id, output_path, iou_tracker, streaming_tracker,
+        uncertainty_topk, stratified_select, hash_split, exact_split, dominance_averaged, video_id, output_path, iou_tracker, streaming_tracker, sequence_stream,
     )
 }
 
@@ -416,6 +433,7 @@ _HEAT = """seg as (select l_orderkey % 7 as frame_id, l_partkey % 28 as class_id
   pt as (select distinct frame_id, class_idx, cast(trunc(ax + (bx - ax) * k / n) as int) as x, cast(trunc(ay + (by_ - ay) * k / n) as int) as y from (select *, unnest(range(0, n + 1)) as k from st))"""
 
 ORACLES = {
+    "sequence_stream": f"{CTE} select printf('%d_%06d', video_id::bigint, frame_idx::bigint // 1500) as seq_name, frame_idx as frame, track_id, round(x1, 4) as x, round(y1, 4) as y, round(x2 - x1, 4) as w, round(y2 - y1, 4) as h from obs",
     "assignment_join": f"{CTE}, {STATS_SQL} select o.video_id, frame_idx, coalesce(role, 'unknown') as role, count(*) as players from obs o left join (select * from roles where track_id % 5 <> 0) r on r.video_id = o.video_id and r.track_id = o.track_id group by 1, 2, 3",
     "asof_homography": f"{CTE} select event_id, h.h02 + 0.0 as h02, o.frame_idx - h.frame_idx as age from obs o asof left join hom h on o.video_id = h.video_id and o.frame_idx >= h.frame_idx",
     "rolling_calibration": f"{CTE}, {_REFS}, {_FITS} select seq, {', '.join(f'case when n >= 50 then round({c}, 4) end as {c}' for c in _FIT_NAMES)} from fits",

@@ -168,6 +168,16 @@ def write_tracks(tracks: DataFrame, path: str) -> None:
     tracks.write.partitionBy("video_id").json(path)
 
 
+def mot_row(seq_name: str, line: str) -> tuple | None:
+    """The row of a ground truth line; None for lines of under six cells."""
+    kinds = (int, int, float, float, float, float, float, int, float, float)
+    cells = line.strip().split(",")
+    if len(cells) < 6:
+        return None
+    cells += [""] * (10 - len(cells))
+    return (seq_name, *(int(float(c)) if k is int and c else k(c) if c else None for k, c in zip(kinds, cells, strict=False)))
+
+
 class ZipSequences(DataSource):
     """Ground truth inside zip archives: spark.read.format("zip_mot").load("a.zip,b.zip"). One task an archive and sequence."""
 
@@ -197,10 +207,7 @@ class ZipReader(DataSourceReader):
         if partition.value is None:
             return
         path, name = partition.value
-        whole = (int, int, float, float, float, float, float, int, float, float)
         with zipfile.ZipFile(path) as archive, archive.open(name) as raw:
             for line in io.TextIOWrapper(raw):
-                cells = line.strip().split(",")
-                if len(cells) >= 6:
-                    cells += [""] * (10 - len(cells))
-                    yield (name.split("/")[-3], *(int(float(c)) if k is int and c else k(c) if c else None for k, c in zip(whole, cells, strict=False)))
+                if row := mot_row(name.split("/")[-3], line):
+                    yield row
