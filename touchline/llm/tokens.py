@@ -292,7 +292,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
         with contextlib.suppress(AnalysisException):  # no files, no such columns
             place = docs.select("doc_id", F.col(text).alias("text"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     if place is not None:
-        ordered = place.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").select("doc_id", "text")
+        # numbers of part files have five digits at least: a longer name is a later file
+        key = [F.length("_file"), F.col("_file"), F.col("_row")]
+        ordered = place.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     else:
         ordered = docs.select("doc_id", F.col(text).alias("text")).withColumn("_h", F.xxhash64("text"))
         ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "text").select("doc_id", "text")
