@@ -206,6 +206,33 @@ def test_averaged_dominance_equals_plain_loops(spark, chunk):
     assert np.allclose(found[["share_0", "share_1"]].to_numpy(), [r[2:4] for r in want], atol=1e-12) and influence.averaged_dominance(players.limit(0)).count() == 0
 
 
+def test_levels_equal_exponentials():
+    """Many players, some far off the pitch and a team of one: products from column to column must lose nothing."""
+    rng = np.random.default_rng(3)
+    across, down = influence._grid(287, 195, 4.0, 50.0, 10.0)
+    places = rng.normal(0, (25, 16, 5, 5), (700, 4))
+    places[:3], places[3] = [(1e4, 0, 9, 0), (-3e3, 2e3, 0, 0), (57, -39, 0, -9)], (-57, 39, 8, 0)
+    kind = np.arange(700) % 2
+    kind[[2, 3]] = 2, 3
+    found = influence._levels(places, kind, 4, across, down)
+    for k in range(4):
+        want = np.zeros((195, 287))
+        for x, y, vx, vy in places[kind == k]:
+            s, a = min(np.hypot(vx, vy), 8), np.arctan2(vy, vx)
+            dx, dy = across[None, :] - x - vx / 2, down[:, None] - y - vy / 2
+            want += np.exp(-0.5 * (((dx * np.cos(a) + dy * np.sin(a)) / (4 + s / 2)) ** 2 + ((dy * np.cos(a) - dx * np.sin(a)) * (1 + s / 10) / 4) ** 2))
+        assert np.allclose(found[k], want, rtol=1e-11, atol=1e-300)
+
+
+def test_dominance_is_dealt_to_more_tasks_than_its_bytes_need(spark):
+    """A frame is few bytes and much work: neither may follow AQE's sizes, nor a match be a handful of chunks."""
+    made = [(1, f, p % 2, float(p), 0.0, 1.0, 0.0) for f in range(50) for p in range(4)]
+    players = spark.createDataFrame(made, "video_id long, frame_idx long, team int, x double, y double, vx double, vy double")
+    assert influence.frame_dominance(players, columns=24, rows=17, scale=48.0).select(F.spark_partition_id()).distinct().count() > 4
+    averaged = influence.averaged_dominance(players, columns=24, rows=17, scale=48.0)
+    assert averaged.count() == 50 and "REPARTITION_BY_NUM" in averaged._jdf.queryExecution().toString()
+
+
 def test_exact_split_has_its_size(spark):
     paths = spark.range(1003).select(F.concat(F.lit("img_"), "id").alias("path"), F.lit(1).alias("_n"))
     for ratio in (0.0, 0.37, 0.8, 1.0):

@@ -7,6 +7,7 @@ constant number of cells, and partial sums leave a row per frame, team and cell
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,104 +38,172 @@ def _grid(columns: int, rows: int, scale: float, margin: float, pixels: float) -
     return (np.arange(columns) * scale - margin) / pixels - HALF_LENGTH, HALF_WIDTH - (np.arange(rows) * scale - margin) / pixels
 
 
-def _level(team: np.ndarray, across: np.ndarray, down: np.ndarray) -> np.ndarray:
-    """The influence of players (x, y, vx, vy) in every cell."""
-    total = np.zeros((len(down), len(across)))
-    for x, y, vx, vy in team:
-        speed, turn = min(np.hypot(vx, vy), 8.0), np.arctan2(vy, vx)
-        dx, dy = across[None, :] - (x + 0.5 * vx), down[:, None] - (y + 0.5 * vy)
-        ahead, aside = dx * np.cos(turn) + dy * np.sin(turn), dy * np.cos(turn) - dx * np.sin(turn)
-        total += np.exp(-0.5 * ((ahead / (4 + 0.5 * speed)) ** 2 + (aside * (1 + 0.1 * speed) / 4) ** 2))
-    return total
+#: Metres that the players' levels are carried over by products before they are exponentials again; places in a step.
+STRIDE, PLACES = 16.4, 16384
+#: Players of a team up to which frames are taken together.
+FEW = 512
+#: Sums below it are made again cell by cell: products may have run dry on the way to them.
+THIN = 1e-200
 
 
-#: Bands of rows that the running average of a match is carried in.
+def _shape(places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Centre, direction and the factors of the squares along and across of players (x, y, vx, vy)."""
+    x, y, vx, vy = places.T
+    speed, turn = np.minimum(np.hypot(vx, vy), 8.0), np.arctan2(vy, vx)
+    return x + 0.5 * vx, y + 0.5 * vy, np.cos(turn), np.sin(turn), 0.5 / (4 + 0.5 * speed) ** 2, 0.5 * ((1 + 0.1 * speed) / 4) ** 2
+
+
+def _levels(places: np.ndarray, kind: np.ndarray, kinds: int, across: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The influence of players (x, y, vx, vy) in every cell, summed by kind: kinds x rows x columns.
+
+    The exponent is a polynomial of the second degree along a row of evenly spaced cells, so from column to column a
+    level changes by a ratio and the ratio by a constant: two products a cell, and an exponential every STRIDE metres.
+    What is too small for a number there is under THIN for as long.
+    """
+    out = np.zeros((len(across), len(down), kinds))
+    step = (across[-1] - across[0]) / max(len(across) - 1, 1)
+    size, stride = max(1, PLACES // len(down)), max(1, int(STRIDE / max(step, STRIDE / 41) + 1e-9))
+    for at in range(0, len(places), size):
+        x, y, cos, sin, ahead, aside = _shape(places[at : at + size])
+        sort = np.eye(kinds)[kind[at : at + size]]
+        a, b = cos * cos * ahead + sin * sin * aside, 2 * cos * sin * (ahead - aside)
+        dy = down[:, None] - y
+        # bounds that only players whose levels are 0 everywhere pass
+        slope, bend = np.exp(np.clip(-step * b * dy, -100, 100)), np.broadcast_to(np.exp(-2 * a * step * step), dy.shape).copy()
+        for begin in range(0, len(across), stride):
+            dx = across[begin] - x
+            level = np.exp(-(ahead * (dx * cos + dy * sin) ** 2 + aside * (dy * cos - dx * sin) ** 2))
+            ratio = np.exp(np.clip(-a * step * (2 * dx + step), -600, 600)) * slope
+            for k in range(begin, min(begin + stride, len(across))):
+                out[k] += level @ sort
+                level *= ratio
+                ratio *= bend
+    out = out.transpose(2, 1, 0)
+    for team in np.unique(kind):
+        rows, columns = np.nonzero(out[team] < THIN)
+        some = [v[:, None] for v in _shape(places[kind == team])]
+        for at in range(0, len(rows), size := max(1, PLACES // len(some[0]))):
+            i, j = rows[at : at + size], columns[at : at + size]
+            x, y, cos, sin, ahead, aside = some
+            dx, dy = across[j] - x, down[i] - y
+            out[team, i, j] = np.exp(-(ahead * (dx * cos + dy * sin) ** 2 + aside * (dy * cos - dx * sin) ** 2)).sum(axis=0)
+    return out
+
+
+def _rosters(players: DataFrame) -> DataFrame:
+    """video_id, frame_idx, first (players of team 0), places (x, y, vx, vy of them and then of team 1, as bytes) of every frame."""
+    place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
+    frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, places = [], []
+            for roster in batch.column("p"):
+                flat = roster.values
+                cells = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "vx", "vy")], axis=1)
+                team = flat.field("team").to_numpy(zero_copy_only=False)
+                first.append(int((team == 0).sum()))
+                places.append(cells[np.argsort(team, kind="stable")].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(first, pa.int64()), pa.array(places, pa.binary())], names=["video_id", "frame_idx", "first", "places"])
+
+    keys = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("video_id", "frame_idx"))
+    return frames.mapInArrow(pack, f"{keys}, first bigint, places binary")
+
+
+def _maps(rosters: Iterator[tuple[object, int, bytes]], across: np.ndarray, down: np.ndarray, most: int) -> Iterator[tuple[object, np.ndarray]]:
+    """(key, the maps of both teams) of rosters (key, first, places), of at most so many small ones at once."""
+
+    def made(held: list[tuple[object, int, np.ndarray]]) -> Iterator[tuple[object, np.ndarray]]:
+        kind = np.concatenate([2 * k + (np.arange(len(places)) >= first) for k, (_, first, places) in enumerate(held)]) if held else []
+        levels = _levels(np.concatenate([places for _, _, places in held]), kind, 2 * len(held), across, down) if held else []
+        yield from ((key, levels[2 * k : 2 * k + 2]) for k, (key, _, _) in enumerate(held))
+
+    held: list[tuple[object, int, np.ndarray]] = []
+    for key, first, raw in rosters:
+        places = np.frombuffer(raw).reshape(-1, 4)
+        if held and (len(held) >= most or sum(len(h[2]) for h in held) + len(places) > 2 * FEW):
+            yield from made(held)
+            held = []
+        if len(places) > 2 * FEW:  # a team at a time
+            yield key, np.concatenate([_levels(part, np.zeros(len(part), np.int64), 1, across, down) for part in (places[:first], places[first:])])
+        else:
+            held.append((key, first, places))
+    yield from made(held)
+
+
+#: Bands of rows that the frames of a match are dealt to.
 BANDS = 13
 
 
-def averaged_dominance(players: DataFrame, keep: float = 0.9, chunk: int = 60, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
+def averaged_dominance(players: DataFrame, keep: float = 0.9, chunk: int = 8, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
     """video_id, frame_idx, share_0, share_1, cells_0 of the teams' averaged influence, over the cells on the pitch.
 
     A frame's map of a team counts 1 - keep in the average, the last average keep; a match's first map is its first average.
     Shares are taken of the averages; cells off the pitch count for neither team. Frames without a player
     of either team are passed over.
 
-    The recursion is a linear scan in three steps, so that no task holds a match: each chunk of frames is folded from
-    zero; the folds of a match's chunks are chained, a band of rows in a task, average = keep ** frames * average +
-    fold; each chunk runs again from the average it starts with. players: as for influence.
+    The average of a cell needs that cell alone, so a match is dealt into BANDS bands of rows: a task goes through a band's
+    frames in order, with its average and at most chunk maps, each made once; a frame's shares are sums over its bands.
+    players: as for influence.
     """
-    place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
-    frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
-    chunks = frames.groupBy(F.col("video_id").cast("long").alias("video_id"), F.floor(F.col("frame_idx") / chunk).cast("long").alias("chunk"))
-    chunks = chunks.agg(F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("long").alias("frame_idx"), "p"))).alias("frames"))
     across, down = _grid(columns, rows, scale, margin, pixels)
     inside = (np.abs(down) <= HALF_WIDTH)[:, None] & (np.abs(across) <= HALF_LENGTH)[None, :]
-    bands = np.array_split(np.arange(rows), min(BANDS, rows))
+    bands = [b for b in np.array_split(np.arange(rows), min(BANDS, rows)) if inside[b].any()]
 
-    def maps(listed: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
-        """(frame, the maps of both teams)."""
-        for frame in listed:
-            cells = np.array([[p["team"], p["x"], p["y"], p["vx"], p["vy"]] for p in frame["p"]])
-            yield frame["frame_idx"], np.stack([_level(cells[cells[:, 0] == team, 1:], across, down) for team in (0, 1)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, average, out = None, None, []
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                total, first = np.zeros((2, rows, columns)), None
-                for _, made in maps(row["frames"]):
-                    first = made if first is None else first
-                    total = keep * total + (1 - keep) * made
-                n = len(bands)
-                cells = [[row["video_id"]] * n, list(range(n)), [row["chunk"]] * n, [len(row["frames"])] * n, [first[:, b].tobytes() for b in bands], [total[:, b].tobytes() for b in bands]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["video_id", "band", "chunk", "n", "first", "total"])
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, average = None, None
-        for batch in batches:
-            starts = []
-            for row in batch.to_pylist():
-                if key != (row["video_id"], row["band"]):
-                    key, average = (row["video_id"], row["band"]), np.frombuffer(row["first"])
-                starts.append(average.tobytes())
-                average = keep ** row["n"] * average + np.frombuffer(row["total"])
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("chunk"), batch.column("band"), pa.array(starts, pa.binary())], names=["video_id", "chunk", "band", "start"])
+        def rosters() -> Iterator[tuple[tuple, int, bytes]]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield (row["video_id"], row["band"], row["frame_idx"]), row["first"], row["places"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                average = np.concatenate([np.frombuffer(s["start"]).reshape(2, len(b), columns) for s, b in zip(row["starts"], bands, strict=True)], axis=1)
-                out = []
-                for frame, made in maps(row["frames"]):
-                    average = keep * average + (1 - keep) * made
-                    share = np.where(inside, average / (average.sum(axis=0) + 1e-6), 0.0).sum(axis=(1, 2)) / inside.sum()
-                    out.append((row["video_id"], frame, float(share[0]), float(share[1]), int((inside & (average[0] > average[1])).sum())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["video_id", "frame_idx", "share_0", "share_1", "cells_0"])
+        def share(part: Iterator[tuple[tuple, int, bytes]], band: int) -> Iterator[tuple]:
+            nonlocal match, average
+            on = inside[bands[band]]
+            for key, made in _maps(part, across, down[bands[band]], chunk):
+                average = made if match != key[:2] else keep * average + (1 - keep) * made
+                match = key[:2]
+                parts = np.where(on, average / (average.sum(axis=0) + 1e-6), 0.0).sum(axis=(1, 2)) / inside.sum()
+                yield key[0], key[2], float(parts[0]), float(parts[1]), int((on & (average[0] > average[1])).sum())
+
+        for (_, band), part in groupby(rosters(), key=lambda r: r[0][:2]):
+            for row in share((r for r in part), band):
+                out.append(row)
+                if len(out) >= 1000:
+                    yield _batch(out)
+                    out = []
+        if out:
+            yield _batch(out)
 
-    folded = chunks.mapInArrow(fold, "video_id bigint, band int, chunk bigint, n bigint, first binary, total binary")
-    starts = folded.repartition("video_id", "band").sortWithinPartitions("video_id", "band", "chunk").mapInArrow(chain, "video_id bigint, chunk bigint, band int, start binary")
-    starts = starts.groupBy("video_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("band", "start"))).alias("starts"))  # the two maps a chunk starts with
-    return chunks.join(starts, ["video_id", "chunk"]).mapInArrow(run, "video_id bigint, frame_idx bigint, share_0 double, share_1 double, cells_0 bigint")
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["video_id", "frame_idx", "share_0", "share_1", "cells_0"])
+
+    frames = _rosters(players).select(*(F.col(c).cast("long").alias(c) for c in ("video_id", "frame_idx")), "first", "places")
+    dealt = frames.withColumn("band", F.explode(F.array(*map(F.lit, range(len(bands)))))).repartition(_tasks(players), "video_id", "band").sortWithinPartitions("video_id", "band", "frame_idx")
+    shares = dealt.mapInArrow(run, "video_id bigint, frame_idx bigint, share_0 double, share_1 double, cells_0 bigint")
+    return shares.groupBy("video_id", "frame_idx").agg(*(F.sum(c).alias(c) for c in ("share_0", "share_1", "cells_0")))
+
+
+def _tasks(rows: DataFrame) -> int:
+    """A number of tasks that evens out what is long to compute and short to read: AQE would put it together by its size."""
+    return 8 * rows.sparkSession.sparkContext.defaultParallelism
 
 
 def frame_dominance(players: DataFrame, columns: int = 287, rows: int = 195, scale: float = 4.0, margin: float = 50.0, pixels: float = 10.0) -> DataFrame:
     """video_id, frame_idx, share_0, share_1, cells_0: the mean shares of the teams and the cells that team 0 leads, over the drawn grid.
 
     players as for influence. The grid has a cell for every scale-th pixel of the drawn pitch, margins
-    included: averaged_dominance leaves them out. A row gathers the players of one frame, a roster; the map of a frame, columns * rows cells
-    for each player, never leaves its task.
+    included: averaged_dominance leaves them out. A row gathers the players of one frame, a roster; the map of a frame
+    never leaves its task.
     """
-    place = F.struct("team", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")))
-    frames = players.filter(F.col("team").isin(0, 1)).groupBy("video_id", "frame_idx").agg(F.collect_list(place).alias("p"))
     across, down = _grid(columns, rows, scale, margin, pixels)
+    frames = _rosters(players).repartition(_tasks(players), "video_id", "frame_idx")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shares = []
-            for roster in batch.column("p"):
-                flat = roster.values
-                cells = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "vx", "vy")], axis=1)
-                team = flat.field("team").to_numpy(zero_copy_only=False)
-                a, b = _level(cells[team == 0], across, down), _level(cells[team == 1], across, down)
+            for _, (a, b) in _maps(zip(range(len(batch)), batch.column("first").to_pylist(), batch.column("places").to_pylist(), strict=True), across, down, 1):
                 total = a + b + 1e-6
                 shares.append((float((a / total).mean()), float((b / total).mean()), int((a > b).sum())))
             made = [pa.array(list(c), t) for c, t in zip(zip(*shares, strict=True), (pa.float64(), pa.float64(), pa.int64()), strict=True)] if shares else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64())]
