@@ -155,6 +155,33 @@ def test_fragment_bounds(spark):
     assert pairs == {(1, 2)}
 
 
+def test_crowded_fragments_find_the_best_parent(spark):
+    """Against all pairs; minima are hashed, as sorts of all pairs spilled, and pairs that are far apart are never made."""
+    rng = np.random.default_rng(4)
+    made = [(v, t, int(f), float(x), float(y), float(x) + 10, float(y) + float(h)) for v in (1, 2) for t, f, x, y, h in zip(range(300), rng.integers(0, 90, 300), rng.integers(0, 60, 300) * 10, rng.integers(0, 30, 300) * 10, rng.integers(20, 40, 300))]
+    rows = fragments.summaries(spark.createDataFrame(made, "video_id bigint, track_id bigint, frame_idx bigint, x1 double, y1 double, x2 double, y2 double"))
+    known, best = {(r["video_id"], r["track_id"]): r for r in rows.collect()}, {}
+    for (v, child), c in known.items():
+        for (w, parent), p in known.items():
+            gap, apart = c["first_frame"] - p["last_frame"], np.hypot(c["head"]["cx"] - p["tail"]["cx"], c["head"]["cy"] - p["tail"]["cy"])
+            tall = max(c["head"]["h"], p["tail"]["h"]) / max(min(c["head"]["h"], p["tail"]["h"]), 1)
+            if v == w and p["track_ordinal"] < c["track_ordinal"] and 0 <= gap <= 30 and apart <= 150 and tall <= 1.5:
+                best.setdefault((v, child), []).append((gap + 0.5 * apart + 50 * (tall - 1), p["track_ordinal"], parent))
+    found = fragments.parents(rows)
+    assert {(r["video_id"], r["child"]): r["parent"] for r in found.collect()} == {k: min(v)[2] for k, v in best.items()}
+    assert {(r["video_id"], r["child"], r["parent"]) for r in fragments.candidates(rows).collect()} == {(*k, p[2]) for k, v in best.items() for p in v}
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_frame_pairs_meet_in_cells_once(spark):
+    rng = np.random.default_rng(5)
+    made = [(1, t, f, float(x), float(y), float(x) + w, float(y) + h) for f in range(3) for t, x, y, w, h in zip(range(60), rng.integers(-100, 300, 60), rng.integers(-100, 300, 60), map(float, rng.integers(-5, 150, 60)), map(float, rng.integers(-5, 150, 60)))]
+    obs = spark.createDataFrame(made, "video_id bigint, track_id bigint, frame_idx bigint, x1 double, y1 double, x2 double, y2 double")
+    want = sorted((a[2], a[1], b[1]) for a in made for b in made if b[2] == a[2] + 1 and min(a[5], b[5]) > max(a[3], b[3]) and min(a[6], b[6]) > max(a[4], b[4]))
+    found = fragments.frame_pairs(obs)
+    assert sorted((r["frame_idx"], r["track_a"], r["track_b"]) for r in found.collect()) == want and "_cx" in found._jdf.queryExecution().toString()
+
+
 def test_components_follow_long_chains(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     nodes = spark.range(1, 40).select(F.lit(1).cast("bigint").alias("video_id"), F.col("id").alias("track_id"))
