@@ -1,6 +1,7 @@
 """The passes over a match: as streams and batches, against plain Python."""
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -233,6 +234,15 @@ def test_dominance_is_dealt_to_more_tasks_than_its_bytes_need(spark):
     assert averaged.count() == 50 and "REPARTITION_BY_NUM" in averaged._jdf.queryExecution().toString()
 
 
+def test_annotations_are_ranked_within_images(spark):
+    """A window over a split had all of its boxes in one task."""
+    df = catalogue.QUERIES["yolo_to_coco"](spark, SF)
+    specs = re.findall(r"windowspecdefinition\(([^)]*)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert any("class_id" in s for s in specs) and all("image#" in s.split("class_id")[0].split(" ASC")[0] for s in specs if "class_id" in s)
+    ids = {s: sorted(r["annotation_id"] for r in df.filter(F.col("split") == s).collect()) for s in (0, 1)}
+    assert all(v == list(range(1, len(v) + 1)) for v in ids.values())
+
+
 def test_exact_split_has_its_size(spark):
     paths = spark.range(1003).select(F.concat(F.lit("img_"), "id").alias("path"), F.lit(1).alias("_n"))
     for ratio in (0.0, 0.37, 0.8, 1.0):

@@ -98,8 +98,12 @@ def yolo_to_coco(spark: SparkSession, d: str) -> DataFrame:
     from touchline.operators.annotations import parse_yolo
 
     boxes = parse_yolo(rows)
-    by = Window.partitionBy("split")
-    out = boxes.withColumn("image_id", F.dense_rank().over(by.orderBy("image")).cast("bigint")).withColumn("annotation_id", F.row_number().over(by.orderBy("image", "class_id", "cx", "cy")).cast("bigint"))
+    # numbers come from a row for each image, and ranks within an image: no task has all boxes of a split
+    ahead = Window.partitionBy("split").orderBy("image")
+    images = boxes.groupBy("split", "image").agg(F.count("*").alias("_n"))
+    images = images.select("split", "image", F.row_number().over(ahead).cast("bigint").alias("image_id"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("split", "image").orderBy("class_id", "cx", "cy"))
+    out = boxes.withColumn("_k", within).join(images, ["split", "image"]).withColumn("annotation_id", F.col("_ahead") + F.col("_k"))
     return out.select("split", "image_id", "annotation_id", F.col("class_id").alias("category_id"), (F.col("cx") - F.col("w") / 2).alias("left"), (F.col("cy") - F.col("h") / 2).alias("top"), "w", "h")
 
 
