@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,18 +112,80 @@ def output_paths(paths: DataFrame, prefix: str, suffix: str, seconds: Column, pa
     return paths.withColumn("output", F.concat(F.concat_ws("_", F.lit(prefix), stem, F.when(seconds.isNotNull(), F.concat(seconds.cast("int").cast("string"), F.lit("s"))), F.lit(suffix)), F.lit(".avi")))
 
 
+#: Rows of the gallery and queries that meet in one task at a time.
+GALLERY_ROWS, QUERY_ROWS = 20_000, 4_000
+#: Rows whose bins are compared in one piece of memory.
+STRIP = 2048
+
+
+def _histograms(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bins by rows, NaN where a bin is missing; which rows have no histogram)."""
+    rows = column.combine_chunks()
+    none = rows.is_null().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    table = np.full((len(rows), int(sizes.max(initial=0))), np.nan, dtype=flat.dtype if flat.dtype.kind == "f" else float)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = flat
+    return np.abs(table.T), none
+
+
+def _sixth(x: np.ndarray) -> np.ndarray:
+    """x in millionths, halves rounded up as SQL does; NaN is the least."""
+    scaled = x * 1e6
+    whole = np.where(np.isnan(x), -1.0, np.floor(scaled + 0.5))
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4).tolist():
+        whole[i] = float(Decimal(repr(float(x[i]))).scaleb(6).to_integral_value(ROUND_HALF_UP))
+    return whole
+
+
 def nearest_histograms(queries: DataFrame, gallery: DataFrame, k: int, blocks: int = 64) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k gallery rows with the largest histogram intersection.
 
-    Queries meet the gallery block by block, so that every pair is made once. Spark broadcasts the blocks
-    while they are small by its own measure and shuffles both sides beyond. Ranks are taken within a block
-    of the gallery first, which leaves k candidates a query and block.
+    Queries meet the gallery block by block, so that every pair is made once, in numpy: a task holds GALLERY_ROWS
+    rows, QUERY_ROWS queries and one query's sums. All pairs have rough sums first; those that may be among the k best
+    are summed in doubles in order of bins, as SQL does. k candidates a query and block leave a task.
     """
-    overlap = F.aggregate(F.zip_with("q", "v", lambda a, b: F.least(F.abs(a), F.abs(b)).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    spread = gallery.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    rows = spread.join(asked, "_block").filter(F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(overlap, 6))
+    across = max(blocks, -(-gallery.count() // GALLERY_ROWS))
+    down = max(1, -(-queries.count() // QUERY_ROWS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    spread = gallery.filter("vec_id is not null").select("vec_id", "v").withColumn("_block", deal("vec_id", across)).withColumn("_part", every(down))
+    asked = queries.filter("query_id is not null").select("query_id", "q").withColumn("_part", deal("query_id", down)).withColumn("_block", every(across))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {gallery.schema['vec_id'].dataType.simpleString()}, similarity double"
+
+    def meet(near: pa.Table, asks: pa.Table) -> pa.Table:
+        (bins, none), (wanted, blank) = _histograms(near["v"]), _histograms(asks["q"])
+        width = max(len(bins), len(wanted))
+        bins, wanted = (np.pad(t, ((0, width - len(t)), (0, 0)), constant_values=np.nan) for t in (bins, wanted))
+        # in order of ids, so that a stable sort by similarity leaves ties in it
+        order = pc.sort_indices(near["vec_id"]).to_numpy()
+        bins, none, ids = np.ascontiguousarray(bins[:, order]), none[order], near["vec_id"].take(order)
+        known = ids.to_numpy()
+        least = np.fmin if np.isnan(bins).any() or np.isnan(wanted).any() else np.minimum
+        space, rough = np.empty((width, STRIP), np.result_type(bins, wanted)), np.zeros(len(none))
+        asker, picked, sums = [], [], []
+        for j, query in enumerate(asks["query_id"].to_pylist()):
+            rows = np.flatnonzero(known != query)
+            if len(rows) > k:
+                for at in range(0, len(none), STRIP):
+                    part = bins[:, at : at + STRIP]
+                    least(part, wanted[:, j, None], out=space[:, : part.shape[1]])
+                    rough[at : at + STRIP] = space[:, : part.shape[1]].sum(axis=0)
+                lost = -np.nan_to_num(np.where(none | blank[j], np.nan, rough), nan=-1.0)[rows]
+                last = np.partition(lost, k - 1)[k - 1]
+                rows = rows[lost <= last + 2e-6 + 4 * width * np.finfo(space.dtype).eps * abs(last)]  # the k best and what may be, or round to, the same
+            total = np.zeros(len(rows))
+            if width:
+                total = np.add.accumulate(least(bins[:, rows], wanted[:, j, None]).astype(float), axis=0)[-1]
+            total[none[rows] | blank[j]] = np.nan
+            best = (-_sixth(total)).argsort(kind="stable")[:k]
+            asker.append(np.full(len(best), j))
+            picked.append(rows[best])
+            sums.append(total[best])
+        asker, picked, sums = (np.concatenate(v or [np.zeros(0)]) for v in (asker, picked, sums))
+        return pa.table({"query_id": asks["query_id"].take(asker.astype(np.int64)), "vec_id": ids.take(picked.astype(np.int64)), "similarity": pa.array(sums, pa.float64(), from_pandas=True)})
+
+    keys = ["_block", "_part"]
+    rows = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema).withColumn("similarity", F.round("similarity", 6))
     order = (F.desc("similarity"), F.asc("vec_id"))
-    block = Window.partitionBy("query_id", "_block").orderBy(*order)
-    rows = rows.select("query_id", "vec_id", "similarity", "_block").withColumn("rank", F.row_number().over(block)).filter(F.col("rank") <= k)
-    return rows.drop("_block").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
