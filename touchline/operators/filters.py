@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pixels of a cell of the picture, and cells that a box spans to meet all balls of its frame.
+CELL, LARGE = 64, 16
+
 
 def confident(detections: DataFrame, least: float, strict: bool) -> DataFrame:
     """Detections above least; strict leaves out those at it."""
@@ -38,7 +41,8 @@ def valid_balls(balls: DataFrame, players: DataFrame) -> DataFrame:
     """Ball boxes of a plausible size and shape; inside the first player's box only at its head or feet.
 
     balls: video_id, frame_idx, ball_id, x1..y2. players: video_id, frame_idx, player_no, x1..y2.
-    A match frame has few players, so the containment test rides on an equi-join by frame.
+    A ball meets the players whose boxes touch its cell of the picture, in an equi-join by frame and cell. Boxes of more
+    than LARGE cells either way, which would be in too many of them, meet the balls of their frame.
     """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ratio = w / F.greatest(h, F.lit(1.0))
@@ -46,6 +50,12 @@ def valid_balls(balls: DataFrame, players: DataFrame) -> DataFrame:
     boxes = players.select("video_id", "frame_idx", "player_no", *(F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
     inside = F.col("cx").between(F.col("px1"), F.col("px2")) & F.col("cy").between(F.col("py1"), F.col("py2"))
     height = F.col("py2") - F.col("py1")
-    met = sized.join(boxes, ["video_id", "frame_idx"]).filter(inside).withColumn("_ok", (F.col("cy") < F.col("py1") + height * 0.3) | (F.col("cy") > F.col("py1") + height * 0.9))
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    span = lambda a: F.sequence(cell(f"p{a}1"), cell(f"p{a}2"))
+    boxes = boxes.filter((F.col("px1") <= F.col("px2")) & (F.col("py1") <= F.col("py2")))  # no other has a place inside
+    large = (cell("px2") - cell("px1") >= LARGE) | (cell("py2") - cell("py1") >= LARGE)
+    small = boxes.filter(~large).withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    near = sized.withColumns({"_cx": cell("cx"), "_cy": cell("cy")}).join(small, ["video_id", "frame_idx", "_cx", "_cy"]).drop("_cx", "_cy")
+    met = near.unionByName(sized.join(boxes.filter(large), ["video_id", "frame_idx"])).filter(inside).withColumn("_ok", (F.col("cy") < F.col("py1") + height * 0.3) | (F.col("cy") > F.col("py1") + height * 0.9))
     verdict = met.groupBy("video_id", "frame_idx", "ball_id").agg(F.min_by("_ok", "player_no").alias("_ok"))
     return sized.join(verdict, ["video_id", "frame_idx", "ball_id"], "left").filter(F.coalesce("_ok", F.lit(True))).drop("_ok", "cx", "cy")
