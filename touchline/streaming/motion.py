@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,10 +30,13 @@ def motion_stream(points: DataFrame, fps: float = FPS, keep: float = 0.7, most:
     names = [c.split()[0] for c in MOTION.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b[["frame_idx", "x", "y"]] for b in batches]).dropna().sort_values(["frame_idx", "x", "y"]).drop_duplicates("frame_idx")
+        frames, px, py = (np.concatenate(c) for c in zip(*((b["frame_idx"].to_numpy(), b["x"].to_numpy(float), b["y"].to_numpy(float)) for b in batches), strict=True))
+        there = np.flatnonzero(~(pd.isna(frames) | np.isnan(px) | np.isnan(py)))
+        there = there[np.lexsort((py[there], px[there], frames[there]))]
+        there = there[np.diff(frames[there], prepend=frames[there][:1] - 1) != 0]
         last, vx, vy, xs, ys = state.get if state.exists else (None, 0.0, 0.0, [], [])
         xs, ys, out = list(xs), list(ys), []
-        for frame, x, y in zip(rows["frame_idx"].tolist(), rows["x"].tolist(), rows["y"].tolist(), strict=True):
+        for frame, x, y in zip(frames[there].tolist(), px[there].tolist(), py[there].tolist(), strict=True):
             if last is not None and frame <= last:
                 continue
             if last is not None and forget is not None and frame - last > forget:
@@ -46,9 +50,7 @@ def motion_stream(points: DataFrame, fps: float = FPS, keep: float = 0.7, most:
             out.append((last, x, y, vx, vy, xs, ys, len(xs), int(100 + 155 / len(xs)), 255))
         if out:
             state.update((last, vx, vy, xs, ys))
-        made = pd.DataFrame(out, columns=names)
-        for place, (name, value) in enumerate(zip(KEY, key, strict=True)):
-            made.insert(place, name, value)
-        yield made
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        yield pd.DataFrame({name: [value] * len(out) for name, value in zip(KEY, key, strict=True)} | {n: list(c) for n, c in zip(names, columns, strict=True)})
 
     return points.select(*KEY, "frame_idx", "x", "y").groupBy(*KEY).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
