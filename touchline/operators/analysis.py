@@ -31,10 +31,15 @@ def cast_of(obs: DataFrame, samples: DataFrame | None, model: dict | None, least
 
 
 def paths_of(obs: DataFrame, cast: DataFrame) -> DataFrame:
-    """video_id, slot_key, frame_idx, x, y, vx, vy: the smoothed paths of the slots; a track that can't be smoothed is where it was seen."""
-    smooth = trajectories.smooth_tracks(obs)
+    """video_id, slot_key, frame_idx, x, y, vx, vy: the smoothed paths of the slots; a track that can't be smoothed is where it was seen.
+
+    Paths are a track's own, so only those of tracks that have a slot are made: of a crowd that is a bounded number of slots.
+    """
+    slots = fragments.slots(cast).checkpoint()  # read for the observations and the paths
+    obs = obs.join(slots.select(*KEY), KEY, "left_semi")
+    smooth = trajectories.smooth_tracks(obs).checkpoint()  # read for the paths and for the tracks that have none
     seen = obs.filter("pitch_x is not null").join(smooth.select(*KEY).distinct(), KEY, "left_anti")
-    frames = fragments.slot_frames(smooth.unionByName(trajectories.fill_gaps(seen)), fragments.slots(cast), cast)
+    frames = fragments.slot_frames(smooth.unionByName(trajectories.fill_gaps(seen)), slots, cast)
     moving = trajectories.velocities(frames.withColumnRenamed("slot_key", "track_id"))
     return moving.select("video_id", F.col("track_id").alias("slot_key"), "frame_idx", "x", "y", "vx", "vy")
 

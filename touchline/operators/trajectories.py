@@ -26,38 +26,40 @@ def by_frame() -> WindowSpec:
 def asof_homography(obs: DataFrame, homographies: DataFrame) -> DataFrame:
     """Observations with the entries of the latest homography of their match, and its age in frames.
 
-    The two tables are stacked and filled forward in frame order, in one shuffle by match and
-    block of frames: a block of BLOCK_FRAMES starts with the last homography before it.
+    The homographies are stacked with the frames there are, a row for each, and filled forward in frame order, in one shuffle
+    by match and block of frames: a block of BLOCK_FRAMES starts with the last homography before it. Observations
+    meet their frame's in an equi-join, so a crowded match is not one task.
     """
     entries = [c for c in homographies.columns if c.startswith("h")]
     packed = homographies.select("video_id", "frame_idx", F.struct(F.col("frame_idx").alias("at"), *entries).alias("_h"))
     block = lambda df: df.withColumn("_block", F.floor(F.col("frame_idx") / BLOCK_FRAMES))
     last = block(packed).groupBy("video_id", "_block").agg(F.max("_h").alias("_h"))
+    frames = obs.select("video_id", "frame_idx").distinct()
     # a row per block and match: the last homography of the blocks before it
-    blocks = block(obs.select("video_id", "frame_idx")).select("video_id", "_block").distinct().withColumn("_h", F.lit(None).cast(last.schema["_h"].dataType))
+    blocks = block(frames).select("video_id", "_block").distinct().withColumn("_h", F.lit(None).cast(last.schema["_h"].dataType))
     ahead = Window.partitionBy("video_id").orderBy("_block", F.col("_h").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.unionByName(blocks).withColumn("_h", F.last("_h", ignorenulls=True).over(ahead)).dropDuplicates(["video_id", "_block"])
-    names = obs.columns
-    stacked = block(obs.withColumn("_h", F.lit(None).cast(last.schema["_h"].dataType)).withColumn("_kind", F.lit(2)))
-    stacked = stacked.unionByName(block(packed.withColumn("_kind", F.lit(1))), allowMissingColumns=True)
-    stacked = stacked.unionByName(carried.withColumn("_kind", F.lit(0)).withColumn("frame_idx", F.col("_block") * BLOCK_FRAMES), allowMissingColumns=True)
+    stacked = block(frames.withColumn("_h", F.lit(None).cast(last.schema["_h"].dataType)).withColumn("_kind", F.lit(2)))
+    stacked = stacked.unionByName(block(packed.withColumn("_kind", F.lit(1))))
+    stacked = stacked.unionByName(carried.withColumn("_kind", F.lit(0)).withColumn("frame_idx", F.col("_block") * BLOCK_FRAMES).select(*stacked.columns))
     order = Window.partitionBy("video_id", "_block").orderBy("frame_idx", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    filled = stacked.withColumn("_h", F.last("_h", ignorenulls=True).over(order)).filter("_kind = 2")
-    return filled.select(*names, *(F.col(f"_h.{e}").alias(e) for e in entries), (F.col("frame_idx") - F.col("_h.at")).alias("age"))
+    filled = stacked.withColumn("_h", F.last("_h", ignorenulls=True).over(order)).filter("_kind = 2").select("video_id", "frame_idx", "_h")
+    made = [F.col(f"_h.{e}").alias(e) for e in entries]
+    return obs.join(filled, ["video_id", "frame_idx"], "left").select(*obs.columns, *made, (F.col("frame_idx") - F.col("_h.at")).alias("age"))
 
 
-def _numbered(rows: DataFrame, order: list[str], place: Column) -> DataFrame:
-    """rows with _n, their number in their match by order; place: a whole number that rises with order, BLOCK_FRAMES of which one task counts."""
-    blocked = rows.withColumn("_k", F.floor(place / BLOCK_FRAMES))
+def _numbered(rows: DataFrame, order: list[str], place: Column, block: int | None = None) -> DataFrame:
+    """rows with _n, their number in their match by order; place: a whole number that rises with order, block (BLOCK_FRAMES) of which one task counts."""
+    blocked = rows.withColumn("_k", F.floor(place / (block or BLOCK_FRAMES)))
     ahead = Window.partitionBy("video_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     sizes = blocked.groupBy("video_id", "_k").agg(F.count("*").alias("_c")).withColumn("_c", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("video_id", "_k").orderBy(*order))
     return blocked.join(sizes, ["video_id", "_k"]).withColumn("_n", within + F.col("_c")).drop("_k", "_c")
 
 
-def carried(rows: DataFrame, value: str, order: list[str], place: Column) -> DataFrame:
+def carried(rows: DataFrame, value: str, order: list[str], place: Column, block: int | None = None) -> DataFrame:
     """rows with their NULLs in value filled by the last value before them in their match, in blocks as _numbered."""
-    blocked = rows.withColumn("_k", F.floor(place / BLOCK_FRAMES))
+    blocked = rows.withColumn("_k", F.floor(place / (block or BLOCK_FRAMES)))
     known = F.when(F.col(value).isNotNull(), F.struct(*order))
     last = blocked.groupBy("video_id", "_k").agg(F.max_by(value, known).alias("_last"))
     ahead = Window.partitionBy("video_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
