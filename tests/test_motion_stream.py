@@ -54,3 +54,15 @@ def test_tracks_are_forgotten_by_frames(spark):
     kept, anew = sent(spark, parts, fps=1.0), sent(spark, parts, fps=1.0, forget=20)
     assert [r["points"] for r in kept] == [1, 2, 3, 4] and [r["points"] for r in anew] == [1, 2, 1, 2]
     assert [round(r["vx"], 9) for r in anew] == [0.0, 0.3, 0.0, 0.3] and kept[2]["vx"] == pytest.approx(0.51)
+
+
+def test_many_tracks_share_states(spark):
+    base = f"{plan._scratch(spark)}/motion-{uuid.uuid4().hex}"
+    rows = spark.range(2000).selectExpr("1L as video_id", "cast(id % 1000 as string) as track_id", "id div 1000 as frame_idx", "double(id) as x", "double(-id) as y")
+    rows.coalesce(1).write.parquet(f"{base}/in")
+    query = motion.motion_stream(spark.readStream.schema(POINTS).parquet(f"{base}/in"), length=1, forget=5, fps=1.0).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) <= motion.SHARES
+    found = spark.read.parquet(f"{base}/out").collect()
+    assert len(found) == 2000 and {r["points"] for r in found} == {1}
+    assert {r["vx"] for r in found if r["frame_idx"] == 0} == {0.0} and all(r["vx"] > 0 > r["vy"] for r in found if r["frame_idx"] == 1)
